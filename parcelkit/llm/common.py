@@ -45,3 +45,10 @@ def durable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows that one Arrow batch takes to a Python worker, where the session asks for more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

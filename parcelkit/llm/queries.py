@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality, sharding
+from . import bpe_codec, exact_dedup, minhash, packing, quality, sharding, token_counts
 from .common import documents
 
 
@@ -17,7 +17,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(documents(spark, d)),
+        "op2_token_counts": lambda spark, d: token_counts.token_counts(documents(spark, d)),
+        "op3_bpe_codec": lambda spark, d: bpe_codec.codec_digests(documents(spark, d)),
         "op7_sharding": lambda spark, d: sharding.shard(documents(spark, d)),
+        "op8_minhash_near_dedup": lambda spark, d: minhash.near_duplicates(documents(spark, d)),
+        "op9_packing": lambda spark, d: packing.pack(documents(spark, d)),
         "op10_quality_rules": lambda spark, d: quality.quality(documents(spark, d), _labels(spark, d)),
     }
 
