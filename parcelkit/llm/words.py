@@ -42,9 +42,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def of_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words in ``raw`` (uint8), and where each ends; worked in blocks that end at blanks."""
-    numbers, ends, at = [], [], 0
+def of_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words in ``raw`` (uint8), where each begins and where it ends; worked in blocks that end at blanks."""
+    numbers, begins, ends, at = [], [], [], 0
     while at < len(raw):
         to = min(at + _BLOCK, len(raw))
         while to < len(raw) and not _BLANK[raw[to - 1]]:  # a word is not cut; one beyond a block makes its block longer
@@ -58,11 +58,12 @@ def of_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_VALUE[part] * powers[: len(part)], out=sums[1:])
         numbers.append(mix((sums[end] - sums[begin]) * inverses[begin]))
+        begins.append(begin + at)
         ends.append(end + at)
         at = to
     if not numbers:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(numbers), np.concatenate(ends)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(numbers), np.concatenate(begins), np.concatenate(ends)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +78,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes with a blank after each, and where each row's blank is."""
+    raw, at = buffers(column)
+    out = np.full(len(raw) + len(at) - 1, 0x20, np.uint8)
+    keep = np.ones(len(out), bool)
+    blanks = at[1:] + np.arange(len(at) - 1)
+    keep[blanks] = False
+    out[keep] = raw
+    return out, blanks
+
+
 def of_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all rows one after another, and each row's offsets into them (n + 1)."""
-    raw, at = buffers(column)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    # Rows meet without a blank between them: put one there.
-    spaced = np.full(len(raw) + len(at) - 1, 0x20, np.uint8)
-    keep = np.ones(len(spaced), bool)
-    keep[at[1:] + np.arange(len(at) - 1)] = False
-    spaced[keep] = raw
-    numbers, ends = of_bytes(spaced)
-    return numbers, np.r_[0, np.searchsorted(ends, at[1:] + np.arange(len(at) - 1), side="right")]
+    raw, blanks = spaced(column)
+    numbers, _, ends = of_bytes(raw)
+    return numbers, np.r_[0, np.searchsorted(ends, blanks, side="right")]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
