@@ -65,14 +65,17 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = _sum(F.transform("_starts", lambda p, j: F.least(F.coalesce(F.get("_starts", j + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")))
     df = df.select(*[c for c in df.columns if c != "_starts"], covered.alias("_n_repeat_words"))
     n = F.greatest(F.col("_n_words"), F.lit(1)).cast("double")
-    return df.withColumns({
+    measures = {
         "_base_failed": (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words")),
         "_symbol_rate": F.col("_n_symbols") / F.greatest(F.col("_word_chars"), F.lit(1)).cast("double"),
         "_stutter_rate": F.col("_n_stutter") / n,
         "_dup_line_rate": F.col("_n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)).cast("double"),
         "_repeat_rate": F.col("_n_repeat_words") / n,
         "_mean_word": F.col("_word_chars") / n,
-    })
+    } | {c: F.col(c) for c in ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words")}
+    # One struct in an array, unpacked again: the optimiser doesn't move conditions on what a generator
+    # makes below it, where it would write out the whole chain above for every use of a measure.
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in measures.items()]))))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -106,14 +109,15 @@ def cutoffs(measures: DataFrame, labels: DataFrame, rate: float = RATE, level: f
     stratum = F.when(F.col("lang").isin(names), F.col("lang")).otherwise("") if names else F.lit("")
     table = held.withColumn("_stratum", stratum).groupBy("_stratum").agg(F.count("*").alias("_n"), *counts)
     tests = (len(names) + 1) * len(RULES)
-    holds = lambda rule, j: binomial_tail(F.col(f"{rule}_{j}"), F.col("_n"), rate / len(RULES)) <= level / tests
-    chosen = []
-    for rule, cuts in RULES.items():
-        passed = F.array(*[holds(rule, j) for j in range(len(cuts))])
-        first_failed = F.array_position(passed, False)  # 1-based; 0 if none failed
-        n_held = F.when(first_failed == 0, len(cuts)).otherwise(first_failed - 1).cast("int")
-        chosen.append(F.get(F.array(*map(F.lit, cuts)), n_held - 1).alias(rule))
-    return {r["_stratum"]: {rule: r[rule] for rule in RULES if r[rule] is not None} for r in table.select("_stratum", *chosen).collect()}
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(j).alias("j"), F.col(f"{rule}_{j}").alias("k")) for rule, cuts in RULES.items() for j in range(len(cuts))]))
+    tested = table.select("_stratum", "_n", each.alias("t")).select("_stratum", "t.rule", "t.j", (binomial_tail(F.col("t.k"), F.col("_n"), rate / len(RULES)) <= level / tests).alias("ok"))
+    held_up = tested.groupBy("_stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("j"))).alias("failed"))
+    chosen: dict[str, dict[str, float]] = {}
+    for r in held_up.collect():  # a row for each stratum and rule
+        n_held = len(RULES[r["rule"]]) if r["failed"] is None else r["failed"]
+        if n_held:
+            chosen.setdefault(r["_stratum"], {})[r["rule"]] = RULES[r["rule"]][n_held - 1]
+    return chosen
 
 
 def verdict(chosen: dict[str, dict[str, float]]) -> Column:
