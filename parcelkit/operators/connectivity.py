@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelkit.functions import stats
@@ -18,20 +18,19 @@ from parcelkit.functions import stats
 KEYS = ("element",)
 
 
-def _pairs(series: DataFrame, keys: Sequence[str], which: Column) -> DataFrame:
+def _pairs(series: DataFrame, keys: Sequence[str], which: str) -> DataFrame:
     a = series.select(*keys, "timepoint", F.col("idx").alias("row_idx"), F.col("col").alias("row"), F.col("value").alias("x"))
     b = series.select(*keys, "timepoint", F.col("idx").alias("col_idx"), F.col("col").alias("col"), F.col("value").alias("y"))
     return a.join(b, [*keys, "timepoint"]).where(which)
 
 
-_LOWER, _BELOW = F.expr("row_idx >= col_idx"), F.expr("row_idx > col_idx")
 _CELL = ("row", "row_idx", "col", "col_idx")
 
 
 def moments(series: DataFrame, kind: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Lower triangle of the correlation or covariance matrix of each element."""
     measure = stats.correlation(F.col("x"), F.col("y")) if kind == "correlation" else F.covar_pop("x", "y")
-    return _pairs(series, keys, _LOWER).groupBy(*keys, *_CELL).agg(measure.alias("value"))
+    return _pairs(series, keys, "row_idx >= col_idx").groupBy(*keys, *_CELL).agg(measure.alias("value"))
 
 
 def spearman(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -146,7 +145,7 @@ def standardised(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def edge_series(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Products of the standardised series of every pair u > v in each frame; col is u~v, idx row-major."""
-    p = _pairs(standardised(series, keys), keys, _BELOW)
+    p = _pairs(standardised(series, keys), keys, "row_idx > col_idx")
     at = F.col("row_idx") * (F.col("row_idx") - 1) / 2 + F.col("col_idx")
     return p.select(*keys, "timepoint", at.cast("int").alias("idx"), F.concat_ws("~", "row", "col").alias("col"), (F.col("x") * F.col("y")).alias("value"))
 
