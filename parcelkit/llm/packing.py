@@ -70,7 +70,7 @@ def curve_places(column: pa.Array) -> np.ndarray:
     n = len(at) - 1
     row = np.repeat(np.arange(n), np.diff(at))
     sign = 1.0 - 2.0 * ((numbers >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    vector = np.bincount(row * HASHED + (numbers % np.uint64(HASHED)).astype(np.int64), sign, n * HASHED).reshape(n, HASHED)
+    vector = np.bincount(row * HASHED + (numbers % np.uint64(HASHED)).astype(np.int64), sign, n * HASHED).astype(float).reshape(n, HASHED)
     vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
     point = vector @ np.random.default_rng(11).normal(size=(HASHED, DIMENSIONS))  # about standard normal in each dimension
     return hilbert(np.clip((1 / (1 + np.exp(-1.7 * point)) * 2**BITS).astype(np.int64), 0, 2**BITS - 1))

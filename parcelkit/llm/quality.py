@@ -156,7 +156,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, rate: float = RATE, level: flo
     The measures are taken twice, for the cutoffs and for the verdict, so that no text is shuffled.
     """
     chosen = cutoffs(_narrow(measured(docs.select("doc_id", "text", "lang"))), labels, rate, level)
-    return measured(docs).where(verdict(chosen)).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), F.col("text"), F.col("lang"))  # own names can't clash with the measures'
+    return measured(whole).where(verdict(chosen)).select("_row.*")
 
 
 def _oracle() -> str:
