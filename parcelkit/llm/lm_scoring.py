@@ -185,7 +185,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
                 row = np.repeat(np.arange(part.num_rows), np.diff(at) + 1)
                 is_held, place = Classes._find(known, word)
                 n = np.where(is_held, known_n[place] if len(known) else 0, 0)
-                add = lambda values, where: np.bincount(row[where], values[where], part.num_rows)  # noqa: E731, B023
+                add = lambda values, where: np.bincount(row[where], values[where], part.num_rows).astype(float)  # noqa: E731, B023
                 base = add(np.log10(np.maximum(n, 1e-9) + ADDED) - below, is_held)
                 share_of = np.log10(np.maximum(n - discount[seq], 1e-9) / np.maximum(total[seq], 1))
                 sums += add(share_of, is_held & (n > 0))
