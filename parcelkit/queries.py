@@ -549,7 +549,7 @@ def _eigen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 query("normalize_surface", _EIGEN + "SELECT subject, CAST(ev AS INTEGER) AS ev, round(value * area, 4) AS value FROM l JOIN size USING (subject)")(lambda spark, d: onthefly.normalize(*_eigen(spark, d), "surface", ["subject"]).withColumn("value", F.round("value", 4)))
 query("normalize_volume", _EIGEN + "SELECT subject, CAST(ev AS INTEGER) AS ev, round(value * volume ** (2.0::DOUBLE / 3), 4) AS value FROM l JOIN size USING (subject)")(lambda spark, d: onthefly.normalize(*_eigen(spark, d), "volume", ["subject"]).withColumn("value", F.round("value", 4)))
-query("reweight", _EIGEN + f"SELECT subject, CAST(ev AS INTEGER) AS ev, {R('value / ev')} FROM l")(lambda spark, d: rounded(onthefly.reweight(_eigen(spark, d)[0], "ev", ["subject"])))
+query("reweight", _EIGEN + "SELECT subject, CAST(ev AS INTEGER) AS ev, value / ev AS value FROM l")(lambda spark, d: onthefly.reweight(_eigen(spark, d)[0], "ev", ["subject"]))
 
 
 # The catalog, from a store in the session's warehouse.
