@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, n_t
     if not rows or not len(buckets):
         return channel, None, None
     x = np.unpackbits(np.stack([np.frombuffer(r["v"], np.uint8) for r in rows]), axis=1)[:, : len(buckets)].astype(np.float32)
-    return channel, buckets, logistic(x, np.array([r["toxic"] for r in rows], np.float32), 1e-4)
+    return channel, buckets, logistic(x, np.array([r["toxic"] for r in rows], np.float32), 1e-5, 1000)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cutoff: float = CUTOFF) -> DataFrame:
