@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller writes and reads again
 for the next stage. All but the last return the columns of ``docs``; the last returns packed pieces.
+
+doc_id is the key of the documents: rows repeated with the same doc_id and text are one document and
+stay or go together. A null doc_id is an id like any other where rows are kept by id; null texts are
+empty, fail the quality rules and go there. Empty tables pass through; other columns are carried along.
 """
 
 from __future__ import annotations
