@@ -176,7 +176,6 @@ def warp_lookup(spark: SparkSession, d: str) -> DataFrame:
 # Connectivity.
 
 _CELLS = 'element, a.col AS "row", CAST(a.idx AS INTEGER) AS row_idx, b.col AS col, CAST(b.idx AS INTEGER) AS col_idx'
-_PAIR = "JOIN {1} b USING (element, timepoint)"
 
 
 def _corr(x: str, y: str) -> str:
