@@ -93,6 +93,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["word", "code", "n"])
 
 
+def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of the most frequent words, ``most`` of them at most.
+
+    Counts fall into steps of a few per cent, of which there are some hundreds. The words of the upper
+    steps that together fit are taken, so no task sends more of them than there are.
+    """
+    step = F.floor(F.log2(F.col("n")) * 32).cast("int")
+    lowest, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > most:
+            break
+        lowest = r["step"]
+    if lowest is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = counts.where(step >= lowest).select("word", "n").toArrow()
+    return table.column("word").to_numpy(), table.column("n").to_numpy()
+
+
 def _train(training: DataFrame, classes: Classes, share: np.ndarray, start: np.ndarray, most: int | None) -> np.ndarray:
     """Weights after a pass over every partition (its first ``most`` tokens), averaged by tokens."""
     size = 256  # values in a row of what partitions send
@@ -146,8 +165,8 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     counts = durable(training.mapInArrow(_count, "word long, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n")))
     n_all, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    held = counts.orderBy(F.desc("n"), "word").limit(HELD).collect()  # a fixed number of rows
-    own = [r["word"] for r in held[: WORD_CLASSES + 1] if r["word"] != END][:WORD_CLASSES]
+    held_words, held_n = _most_frequent(counts, HELD)
+    own = [r["word"] for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(WORD_CLASSES).select("word").collect()]
     endings = counts.where(~F.col("word").isin([*own, END])).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(ENDING_CLASSES).collect()
     classes = Classes(own, [r["code"] for r in endings])
 
@@ -170,8 +189,8 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     weights = LogBilinear.new(share).flat()
     for most in (FIRST_TOKENS, None):
         weights = _train(training, classes, share, weights, most)
-    order = np.argsort(np.array([r["word"] for r in held], np.int64))
-    known, known_n = np.array([r["word"] for r in held], np.int64)[order], np.array([r["n"] for r in held], np.int32 if n_all < 2**31 else np.int64)[order]
+    order = np.argsort(held_words)
+    known, known_n = held_words[order], held_n[order].astype(np.int32 if n_all < 2**31 else np.int64)
     below = np.log10(n_all + ADDED * (n_words + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

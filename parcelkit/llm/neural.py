@@ -14,8 +14,8 @@ import numpy as np
 
 ORDER, BAG, WIDTH = 3, 32, 16
 NOISE, BATCH, RATE = 64, 2048, 0.1
-#: Rows scored at a time; their scores stay in the cache.
-SCORED = 256
+#: Tokens whose contexts are made at a time, and tokens scored at a time.
+SPAN, SCORED = 8192, 512
 
 
 @dataclass
@@ -58,17 +58,25 @@ class LogBilinear:
         return out
 
     def log10(self, classes: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each token's class given its context."""
-        out = np.empty(len(classes))
-        before, bag = self.contexts(classes, start)
-        for lo in range(0, len(classes), SCORED):
-            at = slice(lo, lo + SCORED)
-            scores = self.predict(before[:, at], bag[at]) @ self.outputs.T + self.bias
-            scores -= scores.max(axis=1, keepdims=True)
-            own = scores[np.arange(len(scores)), classes[at]]
-            np.exp(scores, out=scores)
-            out[at] = (own - np.log(scores.sum(axis=1))) / np.log(10)
-        return out
+        """Normalised log10 probability of each token's class given its context.
+
+        Contexts are made for SPAN tokens at a time, with those before that they look back on, and
+        scores for SCORED tokens, so that both stay in the processor's cache.
+        """
+        out, outputs = np.empty(len(classes)), np.ascontiguousarray(self.outputs.T)
+        for lo in range(0, len(classes), SPAN):
+            first, hi = max(0, lo - max(BAG, ORDER)), min(len(classes), lo + SPAN)
+            before, bag = self.contexts(classes[first:hi], np.maximum(start[first:hi] - first, 0))
+            predicted, own = self.predict(before[:, lo - first :], bag[lo - first :]), classes[lo:hi]
+            for at in range(0, hi - lo, SCORED):
+                scores = predicted[at : at + SCORED] @ outputs
+                scores += self.bias
+                if scores.max() > 60:  # else no exponential overflows
+                    scores -= scores.max(axis=1, keepdims=True)
+                mine = scores[np.arange(len(scores)), own[at : at + SCORED]]
+                np.exp(scores, out=scores)
+                out[lo + at : lo + at + len(scores)] = mine - np.log(scores.sum(axis=1))
+        return out / np.log(10)
 
 
 class Trainer:
