@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ LOOKALIKES = {
 }
 #: log10 chances in the channel: a letter written as a look-alike, and a letter repeated.
 DISGUISED, REPEATED = -1.0, -1.0
+#: Words up to SHORT characters are remembered; longer ones are decoded in pieces of about PIECE letters.
+SHORT, PIECE = 64, 128
 #: Letters a-z are 1 to 26; 0 is a word's edge, 27 any other character.
 SYMBOLS = 28
 
@@ -54,14 +57,18 @@ class Channel:
         two = c.sum(axis=0)
         back = (two + 5 * one / one.sum()) / (two.sum(axis=1, keepdims=True) + 5)
         self.log = np.log10((c + 20 * back) / (c.sum(axis=2, keepdims=True) + 20)).tolist()
-        self.decode = lru_cache(1 << 15)(self._decode)
+        self._short = lru_cache(1 << 15)(self._decode)
+
+    def decode(self, word: str) -> str:
+        """The likeliest letters of ``word`` (lower case), of any length; short words are remembered."""
+        return self._short(word) if len(word) <= SHORT else self._decode(word)
 
     def _decode(self, word: str) -> str:
-        """The likeliest letters of ``word`` (lower case)."""
-        # Runs: (letters the character may stand for with their cost, how often it stands there).
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.S)]
+        settled: list[str] = []
+        # A state's text begins where all states' texts last agreed, so no step copies more than a piece.
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for char, times in runs:
+        for m in re.finditer(r"(.)\1*", word, re.S):
+            char, times = m[0][0], len(m[0])
             choices = [(char, 0.0)] if char not in LOOKALIKES else [(c, DISGUISED) for c in LOOKALIKES[char]]
             now: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
@@ -76,8 +83,25 @@ class Channel:
                         got = total + REPEATED * (times > n) * min(times - n, 2)
                         if got > now.get((x, y), (-1e9, ""))[0]:
                             now[x, y] = (got, made)
-            best = now
-        return max((score + self.log[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+            best = _settle(now, settled)
+        return "".join(settled) + max((score + self.log[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+
+
+def _settle(states: dict[tuple[int, int], tuple[float, str]], settled: list[str]) -> dict[tuple[int, int], tuple[float, str]]:
+    """Moves the beginning that all states share to ``settled`` once a text is longer than PIECE.
+
+    Texts that still differ PIECE letters back follow the likeliest one there; the states of the others end.
+    """
+    longest = max(len(text) for _, text in states.values())
+    if longest <= PIECE:
+        return states
+    n = len(commonprefix([text for _, text in states.values()]))
+    if longest - n > PIECE:
+        lead = max(states.values())[1]
+        n = len(lead) - PIECE // 2
+        states = {at: (score, text) for at, (score, text) in states.items() if text[:n] == lead[:n]}
+    settled.append(next(iter(states.values()))[1][:n])
+    return {at: (score, text[n:]) for at, (score, text) in states.items()}
 
 
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?:[ .\-_*/][^\W_]){3,}(?![^\W\d_])")
@@ -110,11 +134,11 @@ def restored(text: str, channel: Channel) -> str:
     """The disguised words of a text as they are meant, with blanks between."""
     out = []
     for m in _SPACED.finditer(text):
-        out.append(channel.decode(re.sub(r"[ .\-_*/]", "", m[0]).lower()[:64]))
+        out.append(channel.decode(re.sub(r"[ .\-_*/]", "", m[0]).lower()))
     for m in _WORD.finditer(text):
         word = m[0].lower()
         if re.search(r"[0-9@$!|+][a-z]|([a-z])\1\1", word):
             word = re.sub(r"[!|+$@]+\Z", "", word)
-            if word and not word.isdigit() and len(word) <= 64:
+            if word and not word.isdigit():
                 out.append(channel.decode(word))
     return " ".join(out)

@@ -207,3 +207,16 @@ def test_disguised_words_are_restored():
     assert {"idiot", "stupid", "loser"} <= set(got)
     flags = deobfuscate.suspicious(pa.array(["plain words. and more!!", "1d10t", "sooo", "s t u p i d", "a.b", None, ""]).fill_null(""))
     assert flags.tolist() == [False, True, True, True, False, False, False]
+
+
+def test_long_spaced_runs_and_long_words_are_restored_to_their_end(monkeypatch):
+    text = ["the stupid idiot is a loser and a moron with the trash that stinks, he is pathetic"] * 50
+    channel = deobfuscate.Channel(deobfuscate.trigrams(pa.array(text)))
+    run = " ".join("theisandwith" * 20 + "1d10t")
+    assert deobfuscate.restored(run, channel) == "theisandwith" * 20 + "idiot"
+    assert deobfuscate.restored("theisandwith" * 20 + "1d10t", channel) == "theisandwith" * 20 + "idiot"
+    words = ["1d10t" * 60, "st00piiid" * 40, "6" * 3 + "1l" * 300 + "d10t"]
+    monkeypatch.setattr(deobfuscate, "PIECE", 10**9)
+    whole = [channel._decode(w) for w in words]
+    monkeypatch.setattr(deobfuscate, "PIECE", 128)
+    assert [channel._decode(w) for w in words] == whole
