@@ -36,6 +36,9 @@ _CODE[128:] = 27
 _ALPHA = (_CODE > 0) & (_CODE < 27)
 _LOOK = np.zeros(256, bool)
 _LOOK[[ord(c) for c in LOOKALIKES]] = True
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[ord(c) for c in LOOKALIKES if not c.isdigit()]] = True
+_WIDE = np.arange(256) >= 128
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in " .-_*/\n\t"]] = True
 
@@ -60,15 +63,23 @@ class Channel:
         self._short = lru_cache(1 << 15)(self._decode)
 
     def decode(self, word: str) -> str:
-        """The likeliest letters of ``word`` (lower case), of any length; short words are remembered."""
+        """The likeliest letters of ``word`` (lower case), of any length; short words are remembered.
+
+        Symbols at the end may be marks or letters. Both readings are given, with a blank between: the
+        word without them, and the likeliest one in which the first of them, at least, is a letter.
+        """
         return self._short(word) if len(word) <= SHORT else self._decode(word)
 
     def _decode(self, word: str) -> str:
         settled: list[str] = []
+        marks = _MARKS.search(word).start()
+        bare, likeliest, made_of = [], -np.inf, ""
         # A state's text begins where all states' texts last agreed, so no step copies more than a piece.
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for m in re.finditer(r"(.)\1*", word, re.S):
             char, times = m[0][0], len(m[0])
+            if 0 < m.start() == marks:
+                bare = ["".join(settled) + self._ended(best)[1]]
             choices = [(char, 0.0)] if char not in LOOKALIKES else [(c, DISGUISED) for c in LOOKALIKES[char]]
             now: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
@@ -84,7 +95,15 @@ class Channel:
                         if got > now.get((x, y), (-1e9, ""))[0]:
                             now[x, y] = (got, made)
             best = _settle(now, settled)
-        return "".join(settled) + max((score + self.log[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+            if m.end() > marks or m.end() == len(word):
+                score, text = self._ended(best)
+                if score > likeliest:
+                    likeliest, made_of = score, "".join(settled) + text
+        return " ".join([*bare, made_of])
+
+    def _ended(self, states: dict[tuple[int, int], tuple[float, str]]) -> tuple[float, str]:
+        """Score and text of the likeliest state where the word ends."""
+        return max((score + self.log[a][b][0], text) for (a, b), (score, text) in states.items())
 
 
 def _settle(states: dict[tuple[int, int], tuple[float, str]], settled: list[str]) -> dict[tuple[int, int], tuple[float, str]]:
@@ -104,41 +123,72 @@ def _settle(states: dict[tuple[int, int], tuple[float, str]], settled: list[str]
     return {at: (score, text[n:]) for at, (score, text) in states.items()}
 
 
-_SPACED = re.compile(r"(?<![^\W\d_])[^\W_](?:[ .\-_*/][^\W_]){3,}(?![^\W\d_])")
+_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W_]|[@$!|+])(?:[ .\-_*/](?:[^\W_]|[@$!|+])){2,}(?![^\W\d_])")
 _WORD = re.compile(r"[A-Za-z0-9@$!|+\u0080-\U0010ffff]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_DISGUISED = re.compile(r"[0-9@$!|+][^\W\d_]|[^\W\d_][0-9@$!|+]|([^\W\d_])\1\1")
+_MARKS = re.compile(r"(?:(?<![!|+$@])[!|+$@]+)?\Z")
+
+
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case and whether it is a letter, of every character below 2 ** 16."""
+    chars = [chr(k) for k in range(1 << 16)]
+    lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.int32)
+    letter = np.array([c.isalnum() and not "0" <= c <= "9" for c in chars])
+    letter[-1] = True  # stands for all characters beyond, too
+    return lower, letter
+
+
+def _decoded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and where each begins."""
+    begins = np.flatnonzero((raw & 0xC0) != 0x80)
+    code = raw[begins].astype(np.int32)
+    wide = np.flatnonzero(code >= 0xC0)
+    lead, more = code[wide], [np.r_[raw, np.zeros(3, np.uint8)][begins[wide] + k].astype(np.int32) & 0x3F for k in (1, 2, 3)]
+    two, three = (lead & 0x1F) << 6 | more[0], (lead & 0x0F) << 12 | more[0] << 6 | more[1]
+    code[wide] = np.select([lead < 0xE0, lead < 0xF0], [two, three], (lead & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2])
+    return code, begins
+
+
+def _rows(at: np.ndarray, blanks: np.ndarray) -> np.ndarray:
+    """Which rows these places are in."""
+    out = np.zeros(len(blanks), bool)
+    out[np.searchsorted(blanks, at)] = True
+    return out
 
 
 def suspicious(column: pa.Array) -> np.ndarray:
-    """Whether each row may hold a disguised word: a look-alike before a letter, a letter three times
-    in a row, or single letters with gaps between them."""
+    """Whether each row surely holds a word to decode: a look-alike before a letter, a digit after one,
+    a letter three times in a row, or three single letters or look-alikes with gaps between them."""
     raw, blanks = spaced(column)
-    n = len(raw)
-    if not n:
+    if not len(raw):
         return np.zeros(len(blanks), bool)
-    pad = np.r_[raw, np.full(8, 32, np.uint8)]
-    at = lambda k: pad[k : k + n]
-    alpha = _ALPHA[pad]
-    code = _CODE[pad]
-    hit = _LOOK[at(0)] & alpha[1 : n + 1]
-    hit |= alpha[:n] & (code[:n] == code[1 : n + 1]) & (code[:n] == code[2 : n + 2])
-    some = alpha | _LOOK[pad]
-    gap = _GAP[pad]
-    hit |= some[:n] & gap[1 : n + 1] & some[2 : n + 2] & gap[3 : n + 3] & some[4 : n + 4] & gap[5 : n + 5] & some[6 : n + 6]
-    row = np.searchsorted(blanks, np.flatnonzero(hit))
-    out = np.zeros(len(blanks), bool)
-    out[row] = True
-    return out
+    lower, letter = _characters()
+    code, begins = _decoded(raw) if (raw >= 128).any() else (raw, None)
+    n = len(code)
+    code, letter = (np.where(code < 1 << 16, lower[np.minimum(code, 0xFFFF)], code), letter[np.minimum(code, 0xFFFF)]) if begins is not None else (lower[code], letter[code])
+    code, letter = np.r_[code, np.full(5, 32, code.dtype)], np.r_[letter, np.zeros(5, bool)]
+    byte = np.minimum(code, 128)
+    look, gap = _LOOK[byte], _GAP[byte]
+    hit = look[:n] & letter[1 : n + 1]
+    hit |= letter[:n] & look[1 : n + 1] & (code[1 : n + 1] >= 48) & (code[1 : n + 1] <= 57)
+    hit |= letter[:n] & (code[:n] == code[1 : n + 1]) & (code[:n] == code[2 : n + 2])
+    some = letter | look
+    spelt = some[:n] & gap[1 : n + 1] & some[2 : n + 2] & gap[3 : n + 3] & some[4 : n + 4] & ~letter[5 : n + 5]
+    hit |= spelt & ~np.r_[False, letter[: n - 1]]
+    at = np.flatnonzero(hit)
+    return _rows(at if begins is None else begins[at], blanks)
+
+
+def ends_open(column: pa.Array) -> np.ndarray:
+    """Whether each row holds a letter with a symbol after it that is a mark or a look-alike, as in "stop!"."""
+    raw, blanks = spaced(column)
+    return _rows(np.flatnonzero((_ALPHA | _WIDE)[raw[:-1]] & _SYMBOL[raw[1:]]), blanks)
 
 
 def restored(text: str, channel: Channel) -> str:
     """The disguised words of a text as they are meant, with blanks between."""
-    out = []
-    for m in _SPACED.finditer(text):
-        out.append(channel.decode(re.sub(r"[ .\-_*/]", "", m[0]).lower()))
-    for m in _WORD.finditer(text):
-        word = m[0].lower()
-        if re.search(r"[0-9@$!|+][a-z]|([a-z])\1\1", word):
-            word = re.sub(r"[!|+$@]+\Z", "", word)
-            if word and not word.isdigit():
-                out.append(channel.decode(word))
-    return " ".join(out)
+    spelt = (re.sub(r"[ .\-_*/]", "", m[0]).lower() for m in _SPACED.finditer(text))
+    words = (m[0].lower() for m in _WORD.finditer(text))
+    return " ".join([channel.decode(w) for w in spelt if _LETTER.search(w)] + [channel.decode(w) for w in words if _DISGUISED.search(w)])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, crc_mod, text_of
-from .deobfuscate import SYMBOLS, Channel, restored, suspicious, trigrams
+from .deobfuscate import SYMBOLS, Channel, ends_open, restored, suspicious, trigrams
 from .svm import logistic
 from .words import mix, slices, spaced
 
@@ -65,7 +65,7 @@ class Scorer:
     def restore(self, column: pa.Array) -> pa.Array:
         """Each text with its restored words after it."""
         column = column.fill_null("")
-        rows = np.flatnonzero(suspicious(column))
+        rows = np.flatnonzero(suspicious(column) | ends_open(column))
         if not len(rows):
             return column
         texts = column.to_pylist()

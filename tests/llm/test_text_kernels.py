@@ -220,3 +220,19 @@ def test_long_spaced_runs_and_long_words_are_restored_to_their_end(monkeypatch):
     whole = [channel._decode(w) for w in words]
     monkeypatch.setattr(deobfuscate, "PIECE", 128)
     assert [channel._decode(w) for w in words] == whole
+
+
+def test_look_alikes_on_either_side_of_a_letter_are_restored():
+    text = ["the stupid idiot is a loser and a moron with the trash that stinks, he is pathetic, hi and stop"] * 50
+    channel = deobfuscate.Channel(deobfuscate.trigrams(pa.array(text)))
+    cases = {"idi07": "idiot", "idio+": "idiot", "idi0+!": "idiot", "tra$#": "tras", "h!": "hi", "stop!": "stop", "i d ! o t": "idiot", "h - 1": None, "a-s-$": "as", "moro7+": "morot"}
+    for word, meant in cases.items():
+        got = deobfuscate.restored(f"so {word}, they said", channel).split()
+        assert meant is None and not got or meant in got, (word, got)
+    seen = lambda t: (deobfuscate.suspicious(pa.array([t])) | deobfuscate.ends_open(pa.array([t]))).tolist() == [True]
+    assert all(seen(t) for t in ["idi07", "a$$", "h!", "é5", "тупооой", "éÉé", "т у п о й", "й!", "i d ! o t", "漢字漢漢漢"])
+    assert not any(seen(t) for t in ["plain words.", "élan", "a.b", "1 2", "漢字", "𐍈 x", ""])
+    assert deobfuscate.restored("тупооой", channel) in ("тупой", "тупоой") and deobfuscate.restored("т у п о й", channel) == "тупой"
+    wide = pa.array(["élan", "漢字 1d10t", "x", "тупооой", "plain", "naz!"])
+    assert deobfuscate.suspicious(wide).tolist() == [False, True, False, True, False, False]
+    assert deobfuscate.ends_open(wide).tolist() == [False] * 5 + [True]
