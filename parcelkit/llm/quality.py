@@ -96,7 +96,9 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, rate: float = RATE, level: float = LEVEL) -> dict[str, dict[str, float]]:
-    """Per stratum and rule, the strictest cutoff that holds; a stratum not named has those of ''.
+    """Per stratum and rule, the strictest cutoff that holds; a language not named has those of ''.
+
+    Every named language has an entry, an empty one if none of its cutoffs holds.
 
     ``measures`` has doc_id, lang, _base_failed and the measures; ``labels`` doc_id and quality
     (1: good). An id labelled more than once is good only if all its labels say so.
@@ -112,7 +114,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, rate: float = RATE, level: f
     each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(j).alias("j"), F.col(f"{rule}_{j}").alias("k")) for rule, cuts in RULES.items() for j in range(len(cuts))]))
     tested = table.select("_stratum", "_n", each.alias("t")).select("_stratum", "t.rule", "t.j", (binomial_tail(F.col("t.k"), F.col("_n"), rate / len(RULES)) <= level / tests).alias("ok"))
     held_up = tested.groupBy("_stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("j"))).alias("failed"))
-    chosen: dict[str, dict[str, float]] = {}
+    chosen: dict[str, dict[str, float]] = {name: {} for name in names}
     for r in held_up.collect():  # a row for each stratum and rule
         n_held = len(RULES[r["rule"]]) if r["failed"] is None else r["failed"]
         if n_held:

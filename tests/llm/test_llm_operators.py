@@ -300,6 +300,19 @@ def test_cutoffs_hold_on_good_documents(spark):
     assert rate[1] >= 1 - quality.RATE and rate[0] == 0
 
 
+def test_a_language_without_cutoffs_does_not_take_the_shared_ones(spark):
+    rng = np.random.default_rng(6)
+    words = lambda: " ".join(f"w{x}" for x in rng.integers(0, 9999, 40))
+    rows = [(k, words(), None, 1) for k in range(4000)] + [(4000 + k, words() + " #" * 12, "xx", 1) for k in range(20)] + [(5000, words() + " #" * 12, "yy", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, q int")
+    labels = docs.where("q = 1").selectExpr("doc_id", "q AS quality")
+    chosen = quality.cutoffs(quality._narrow(quality.measured(docs)), labels)
+    assert chosen["xx"] == {} and chosen[""]["symbol_rate"] < 0.05
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs, labels).collect()}
+    assert all(kept[k] for k in range(4000, 4020)) and not kept[5000]
+    assert quality.keep_good(docs, labels).where("lang = 'xx'").count() == 20
+
+
 def test_binomial_tails(spark):
     cases = [(0, 10), (3, 50), (40, 1000), (0, 1), (30, 1000)]
     df = spark.createDataFrame(cases, "k long, n long").withColumn("p", quality.binomial_tail(F.col("k"), F.col("n"), 0.05))
