@@ -1,9 +1,11 @@
-"""A log-bilinear model of class sequences, in numpy.
+"""A log-bilinear model of unit sequences with a factored output layer, in numpy.
 
 The context of a token is its three predecessors and the mean of up to BAG tokens before it. Each
-has a matrix; their sum predicts a vector, and a class's score is its product with the class's
-output vector, plus a bias. Training is noise-contrastive: a logistic regression tells the class
-that came from classes drawn by their frequencies. Scoring normalises over all classes.
+has a matrix; their sum predicts a vector. Units lie in classes of equal size: a unit's probability is
+that of its class, by the class's vector, times that of the unit in its class, by its own vector, each
+with a bias. Training is noise-contrastive at both steps: a logistic regression tells the class that
+came from classes drawn by their frequencies, and the unit from units drawn inside its class. Scoring
+normalises over all classes and over all units of the class, by matrix products.
 """
 
 from __future__ import annotations
@@ -13,116 +15,182 @@ from dataclasses import dataclass, fields
 import numpy as np
 
 ORDER, BAG, WIDTH = 3, 32, 16
-NOISE, BATCH, RATE = 64, 2048, 0.1
-#: Tokens whose contexts are made at a time, and tokens scored at a time.
-SPAN, SCORED = 8192, 512
+#: Classes drawn for a batch, units drawn for a token, entries of a class's table of noise.
+NOISE, OWN_NOISE, TABLE = 32, 3, 1024
+BATCH, RATE = 4096, 0.1
+#: Tokens whose contexts are made at a time, tokens scored together, rows of one product.
+SPAN, SCORED, ROWS = 8192, 1 << 17, 512
 
 
 @dataclass
 class LogBilinear:
-    inputs: np.ndarray  # (classes + 1, width); the last row stands before a text's begin
-    outputs: np.ndarray  # (classes, width)
-    bias: np.ndarray  # (classes,)
+    """Weights for ``side`` classes of ``side`` units; unit u lies in class u // side."""
+
+    inputs: np.ndarray  # (units + 1, width); the last row stands before a text's begin
+    outputs: np.ndarray  # (units, width)
+    bias: np.ndarray  # (units,)
+    class_outputs: np.ndarray  # (side, width)
+    class_bias: np.ndarray  # (side,)
     mixing: np.ndarray  # (ORDER + 1, width, width)
 
     @classmethod
     def new(cls, share: np.ndarray, seed: int = 1) -> LogBilinear:
-        """An untrained model that predicts ``share``, the classes' relative frequencies."""
-        rng, n = np.random.default_rng(seed), len(share)
+        """An untrained model that predicts ``share``, the units' relative frequencies, all above zero."""
+        rng, n, side = np.random.default_rng(seed), len(share), int(len(share) ** 0.5)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         mixing = np.stack([np.eye(WIDTH, dtype=np.float32) * w for w in [*(0.5 / (k + 1) for k in range(ORDER)), 0.5]])
-        return cls(draw(n + 1, WIDTH), draw(n, WIDTH), np.log(share).astype(np.float32), mixing)
+        of_class = share.reshape(side, side).sum(axis=1)
+        return cls(draw(n + 1, WIDTH), draw(n, WIDTH), np.log(share / np.repeat(of_class, side)).astype(np.float32), draw(side, WIDTH), np.log(of_class).astype(np.float32), mixing)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)]).astype(np.float32)
 
     @classmethod
-    def of_flat(cls, values: np.ndarray, n: int) -> LogBilinear:
-        shapes = [(n + 1, WIDTH), (n, WIDTH), (n,), (ORDER + 1, WIDTH, WIDTH)]
+    def of_flat(cls, values: np.ndarray, side: int) -> LogBilinear:
+        n = side * side
+        shapes = [(n + 1, WIDTH), (n, WIDTH), (n,), (side, WIDTH), (side,), (ORDER + 1, WIDTH, WIDTH)]
         ends = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         return cls(*(values[a:b].reshape(s).astype(np.float32) for a, b, s in zip(ends[:-1], ends[1:], shapes, strict=True)))
 
-    def contexts(self, classes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def side(self) -> int:
+        return len(self.class_bias)
+
+    def contexts(self, units: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Predecessors (ORDER x n) and the mean vectors (n x width); start: where each token's text begins."""
-        i, none = np.arange(len(classes)), len(self.outputs)
-        before = np.stack([np.where(i - k >= start, classes[np.maximum(i - k, 0)], none) for k in range(1, ORDER + 1)])
-        sums = np.zeros((len(classes) + 1, WIDTH))
-        np.cumsum(self.inputs[classes], axis=0, dtype=np.float64, out=sums[1:])
+        i, none = np.arange(len(units)), len(self.outputs)
+        before = np.stack([np.where(i - k >= start, units[np.maximum(i - k, 0)], none) for k in range(1, ORDER + 1)])
+        sums = np.zeros((len(units) + 1, WIDTH), np.float32)
+        np.cumsum(self.inputs.take(units, axis=0), axis=0, out=sums[1:])
         first = np.maximum(start, i - BAG)
-        return before, ((sums[i] - sums[first]) / np.maximum(i - first, 1)[:, None]).astype(np.float32)
+        bag = sums[:-1] - sums.take(first, axis=0)
+        bag /= np.maximum(i - first, 1).astype(np.float32)[:, None]
+        return before, bag
+
+    def spans(self, units: np.ndarray, start: np.ndarray):
+        """(from, to, predecessors, means) of SPAN tokens at a time, with the tokens before that they look back on."""
+        for lo in range(0, len(units), SPAN):
+            first, hi = max(0, lo - max(BAG, ORDER)), min(len(units), lo + SPAN)
+            before, bag = self.contexts(units[first:hi], np.maximum(start[first:hi] - first, 0))
+            yield lo, hi, before[:, lo - first :], bag[lo - first :]
 
     def predict(self, before: np.ndarray, bag: np.ndarray) -> np.ndarray:
         out = bag @ self.mixing[ORDER]
         for k in range(ORDER):
-            out += self.inputs[before[k]] @ self.mixing[k]
+            out += self.inputs.take(before[k], axis=0) @ self.mixing[k]
+        return out
+
+    @staticmethod
+    def _normalised(predicted: np.ndarray, outputs: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log probability of each row's ``own`` choice among all outputs, ROWS rows at a time."""
+        out = np.empty(len(own), np.float32)
+        for at in range(0, len(own), ROWS):
+            scores = predicted[at : at + ROWS] @ outputs
+            scores += bias
+            if scores.max() > 60:  # else no exponential overflows
+                scores -= scores.max(axis=1, keepdims=True)
+            mine = scores[np.arange(len(scores)), own[at : at + ROWS]]
+            np.exp(scores, out=scores)
+            out[at : at + ROWS] = mine - np.log(scores.sum(axis=1))
         return out
 
-    def log10(self, classes: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each token's class given its context.
-
-        Contexts are made for SPAN tokens at a time, with those before that they look back on, and
-        scores for SCORED tokens, so that both stay in the processor's cache.
-        """
-        out, outputs = np.empty(len(classes)), np.ascontiguousarray(self.outputs.T)
-        for lo in range(0, len(classes), SPAN):
-            first, hi = max(0, lo - max(BAG, ORDER)), min(len(classes), lo + SPAN)
-            before, bag = self.contexts(classes[first:hi], np.maximum(start[first:hi] - first, 0))
-            predicted, own = self.predict(before[:, lo - first :], bag[lo - first :]), classes[lo:hi]
-            for at in range(0, hi - lo, SCORED):
-                scores = predicted[at : at + SCORED] @ outputs
-                scores += self.bias
-                if scores.max() > 60:  # else no exponential overflows
-                    scores -= scores.max(axis=1, keepdims=True)
-                mine = scores[np.arange(len(scores)), own[at : at + SCORED]]
-                np.exp(scores, out=scores)
-                out[lo + at : lo + at + len(scores)] = mine - np.log(scores.sum(axis=1))
+    def log10(self, units: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each token's unit given its context."""
+        out, side = np.empty(len(units)), self.side
+        of_class, outputs = np.ascontiguousarray(self.class_outputs.T), self.outputs.reshape(side, side, WIDTH).transpose(0, 2, 1).copy()
+        bias = self.bias.reshape(side, side)
+        for from_ in range(0, len(units), SCORED):
+            # SCORED tokens share one pass over the classes; spans look back on what stands before them.
+            first, to = max(0, from_ - max(BAG, ORDER)), min(len(units), from_ + SCORED)
+            predicted = np.concatenate([self.predict(before, bag) for _, _, before, bag in self.spans(units[first:to], np.maximum(start[first:to] - first, 0))])[from_ - first :]
+            own = units[from_:to]
+            classes = (own // side).astype(np.uint8 if side <= 256 else np.uint16)
+            order = np.argsort(classes, kind="stable")
+            predicted, classes, inside = predicted.take(order, axis=0), classes[order].astype(np.int64), (own % side)[order]
+            found = self._normalised(predicted, of_class, self.class_bias, classes)
+            edges = np.searchsorted(classes, np.arange(side + 1))
+            for c in np.flatnonzero(np.diff(edges)).tolist():
+                rows = slice(edges[c], edges[c + 1])
+                found[rows] += self._normalised(predicted[rows], outputs[c], bias[c], inside[rows])
+            out[from_ + order] = found
         return out / np.log(10)
 
 
 class Trainer:
-    """One pass of noise-contrastive estimation with per-weight step sizes (Adagrad)."""
+    """Noise-contrastive estimation in batches, with per-weight step sizes (Adagrad)."""
 
     def __init__(self, model: LogBilinear, share: np.ndarray, seed: int = 2, rate: float = RATE):
-        self.model, self.rate = model, rate
-        self.noise = np.log(NOISE * share).astype(np.float32)
-        self.cumulated = np.cumsum(share)
+        self.model, self.rate, side = model, rate, model.side
+        of_class = share.reshape(side, side).sum(axis=1)
+        self.noise = np.log(NOISE * of_class).astype(np.float32)
+        self.cumulated = np.cumsum(of_class)
+        # A class's table holds each of its units once at least, the others by frequency; what it holds is the noise.
+        inside = share.reshape(side, side) / of_class[:, None]
+        ends = np.rint(np.cumsum(1 + inside * (TABLE - side), axis=1)).astype(np.int64)
+        ends[:, -1] = TABLE
+        self.table = np.stack([side * c + np.searchsorted(e, np.arange(TABLE), side="right") for c, e in enumerate(ends)]).ravel()
+        self.own_noise = np.log(OWN_NOISE * np.maximum(np.bincount(self.table, minlength=len(share)), 1) / TABLE).astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.squares = {f.name: np.full(getattr(model, f.name).shape, 0.1, np.float32) for f in fields(model)}
         self.tokens = 0
 
     def _step(self, name: str, gradient: np.ndarray) -> None:
-        square = self.squares[name]
+        square, weights = self.squares[name], getattr(self.model, name)
         square += gradient * gradient
-        weights = getattr(self.model, name)
-        weights -= self.rate * gradient / np.sqrt(square)
+        gradient = gradient * np.float32(-self.rate)
+        gradient /= np.sqrt(square)
+        weights += gradient
 
     @staticmethod
-    def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        """Sums of the values' rows that share a number."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        out = np.zeros((n, values.shape[1]), np.float32)
-        out[rows[first]] = np.add.reduceat(values[order], first, axis=0)
-        return out
-
-    def train(self, classes: np.ndarray, start: np.ndarray) -> None:
-        m = self.model
-        before_all, bag_all = m.contexts(classes, start)
-        for at in (slice(lo, lo + BATCH) for lo in range(0, len(classes), BATCH)):
-            target, before, bag = classes[at], before_all[:, at], bag_all[at]
-            n = len(target)
-            drawn = np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1])
-            predicted = m.predict(before, bag)
-            own = np.einsum("nd,nd->n", predicted, m.outputs[target]) + m.bias[target] - self.noise[target]
-            other = predicted @ m.outputs[drawn].T + m.bias[drawn] - self.noise[drawn]
-            d_own = -1 / (1 + np.exp(np.clip(own, -30, 30)))
-            d_other = 1 / (1 + np.exp(-np.clip(other, -30, 30)))
-            d_predicted = (d_own[:, None] * m.outputs[target] + d_other @ m.outputs[drawn]) / n
-            d_outputs = self._scatter(np.r_[target, drawn], np.concatenate([d_own[:, None] * predicted, d_other.T @ predicted]) / n, len(m.outputs))
-            d_bias = (np.bincount(target, d_own, len(m.bias)) + np.bincount(drawn, d_other.sum(axis=0), len(m.bias))) / n
-            d_mixing = np.stack([*(m.inputs[b].T @ d_predicted for b in before), bag.T @ d_predicted])
-            d_inputs = self._scatter(before.ravel(), np.concatenate([d_predicted @ m.mixing[k].T for k in range(ORDER)]), len(m.inputs))
-            for name, gradient in (("inputs", d_inputs), ("outputs", d_outputs), ("bias", d_bias.astype(np.float32)), ("mixing", d_mixing)):
-                self._step(name, gradient * 64)
-            self.tokens += n
+    def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the values' rows that share a number in ``at``, for every number below ``size``."""
+        places = (at * WIDTH)[:, None] + np.arange(WIDTH)
+        return np.bincount(places.ravel(), values.ravel(), size * WIDTH).astype(np.float32).reshape(size, WIDTH)
+
+    def train(self, units: np.ndarray, start: np.ndarray) -> None:
+        """One pass over the tokens; a batch's contexts are those of the weights before it."""
+        for lo, hi, before, bag in self.model.spans(units, start):
+            for at in range(0, hi - lo, BATCH):
+                part = slice(at, at + BATCH)
+                self._batch(units[lo + at : min(hi, lo + at + BATCH)], before[:, part], bag[part])
+
+    def _batch(self, target: np.ndarray, before: np.ndarray, bag: np.ndarray) -> None:
+        m, n, side = self.model, len(target), self.model.side
+        scale = np.float32(64 / n)  # gradients as of 64 tokens, however large the batch
+        classes = target // side
+        drawn = np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1])
+        predicted = m.predict(before, bag)
+
+        def both(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return -scale / (1 + np.exp(np.clip(own, -30, 30))), scale / (1 + np.exp(-np.clip(other, -30, 30)))
+
+        # Classes: the tokens' own against those drawn for the batch.
+        vectors, noise = m.class_outputs.take(classes, axis=0), m.class_outputs[drawn]
+        d_own, d_other = both(np.einsum("nd,nd->n", predicted, vectors) + (m.class_bias - self.noise).take(classes), predicted @ noise.T + (m.class_bias - self.noise)[drawn])
+        d_predicted = d_own[:, None] * vectors + d_other @ noise
+        d_outputs = np.zeros((side, WIDTH + 1), np.float32)
+        np.add.at(d_outputs, drawn, np.c_[d_other.T @ predicted, d_other.sum(axis=0)])
+        d_outputs[:, :WIDTH] += self._sums(classes, d_own[:, None] * predicted, side)
+        d_outputs[:, WIDTH] += np.bincount(classes, d_own, side)
+
+        # Units: the tokens' own against OWN_NOISE of the same class each.
+        chosen = np.empty((n, 1 + OWN_NOISE), np.int64)
+        chosen[:, 0] = target
+        chosen[:, 1:] = self.table.take(classes[:, None] * TABLE + self.rng.integers(0, TABLE, (n, OWN_NOISE), dtype=np.int32))
+        flat = chosen.ravel()
+        vectors = m.outputs.take(flat, axis=0).reshape(n, 1 + OWN_NOISE, WIDTH)
+        score = np.einsum("nkd,nd->nk", vectors, predicted) + (m.bias - self.own_noise).take(chosen)
+        d_chosen = np.empty_like(score)
+        d_chosen[:, 0], d_chosen[:, 1:] = both(score[:, 0], score[:, 1:])
+        d_predicted += np.einsum("nk,nkd->nd", d_chosen, vectors)
+        vectors = np.einsum("nk,nd->nkd", d_chosen, predicted)
+
+        d_mixing = np.stack([*(m.inputs.take(b, axis=0).T @ d_predicted for b in before), bag.T @ d_predicted])
+        d_inputs = np.concatenate([d_predicted @ m.mixing[k].T for k in range(ORDER)])
+        self._step("outputs", self._sums(flat, vectors, side * side))
+        self._step("bias", np.bincount(flat, d_chosen.ravel(), side * side).astype(np.float32))
+        self._step("inputs", self._sums(before.ravel(), d_inputs, side * side + 1))
+        self._step("class_outputs", d_outputs[:, :WIDTH])
+        self._step("class_bias", d_outputs[:, WIDTH])
+        self._step("mixing", d_mixing)
+        self.tokens += n

@@ -67,11 +67,11 @@ def of_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (n + 1) of a string column; a null row is empty."""
+    """Bytes and row offsets (n + 1) of a string or binary column; a null row is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
@@ -104,3 +104,37 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+class Numbering:
+    """Finds word numbers in a fixed set, by an open hash table: the place of each in ``known``, or -1."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.append(known.astype(np.int64), 0)  # the last one stands for an empty slot, never found
+        self.mask = (1 << int(2 * len(known) + 1).bit_length()) - 1
+        self.slots = np.full(self.mask + 1, len(known), np.int32)
+        waiting, place = np.arange(len(known), dtype=np.int32), self._start(known.astype(np.int64))
+        while len(waiting):
+            free = self.slots[place] == len(known)
+            self.slots[place[free]] = waiting[free]
+            rest = self.slots[place] != waiting
+            waiting, place = waiting[rest], place[rest] + 1 & self.mask
+
+    def _start(self, values: np.ndarray) -> np.ndarray:
+        return (values ^ (values >> 29)) & self.mask
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        none = len(self.known) - 1
+        place = self._start(values)
+        out = self.slots.take(place)
+        waiting = np.flatnonzero((self.known.take(out) != values) & (out != none))
+        out[(out != none) & (self.known.take(out) != values)] = none
+        place = place[waiting]
+        while len(waiting):
+            place = place + 1 & self.mask
+            found = self.slots.take(place)
+            hit = (found != none) & (self.known.take(found) == values[waiting])
+            out[waiting[hit]] = found[hit]
+            rest = ~hit & (found != none)
+            waiting, place = waiting[rest], place[rest]
+        return np.where(out == none, -1, out)

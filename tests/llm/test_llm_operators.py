@@ -131,11 +131,46 @@ def test_lm_scores(spark, docs, rows):
 
 def test_lm_words_beyond_the_held_counts(spark, docs, monkeypatch):
     whole = {(r["doc_id"], r["n_known"]): (r["base_score"], r["score"]) for r in lm_scoring.lm_scores(docs).collect()}
-    monkeypatch.setattr(lm_scoring, "HELD", lm_scoring.WORD_CLASSES + 20)
+    monkeypatch.setattr(lm_scoring, "HELD", lm_scoring.Units.words_for(lm_scoring.LEAST_SIDE) + 20)
     for r in lm_scoring.lm_scores(docs).collect():
         assert (r["base_score"], r["score"]) == pytest.approx(whole[r["doc_id"], r["n_known"]], rel=1e-3)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    one, many = ({tuple(r)[:5]: r["score"] for r in lm_scoring.lm_scores(docs.repartition(n)).collect()} for n in (2, 16))
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-6) for k in one)
+
+
+def test_lm_counts_beyond_what_a_task_keeps(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, lm_scoring.lm_scores(docs).drop("score").collect()), key=repr)
+    monkeypatch.setattr(lm_scoring, "COUNTED", 50)
+    assert sorted(map(tuple, lm_scoring.lm_scores(docs).drop("score").collect()), key=repr) == whole
+
+
+def test_lm_prefers_text_to_shuffled_and_random_words(spark, sf_dir):
+    from pathlib import Path
+
+    table = documents(spark, str(Path(sf_dir).parent / "sf0.01")).where("length(text) > 400").select("doc_id", "text")
+    held = [r for r in table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()]
+    rng = np.random.default_rng(3)
+    pool, other = [w for r in held for w in r["text"].split()], []
+    for k, r in enumerate(held):
+        w = r["text"].split()
+        other.append((10 * k, -1, " ".join(rng.permutation(w))))
+        other.append((10 * k + 1, -2, " ".join(rng.choice(pool, len(w)))))  # other languages' and topics' words among them
+        other.append((10 * k + 2, -3, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in w)))
+    ids = [i for i in range(10**6, 11 * 10**5) if zlib.crc32(str(i).encode()) % 10 == 0][: len(other)]
+    made = {i: (held[o[0] // 10]["doc_id"], o[1]) for i, o in zip(ids, other, strict=True)}
+    more = spark.createDataFrame([(i, o[2]) for i, o in zip(ids, other, strict=True)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.lm_scores(table.unionByName(more)).collect()}
+    better = collections.defaultdict(list)
+    for i, (d, kind) in made.items():
+        better[kind].append(got[d] - got[i])
+    assert np.mean(better[-1]) > 0 and np.mean(better[-2]) > 0.1 and min(better[-3]) > 0, {k: (np.mean(v), np.mean(np.array(v) > 0)) for k, v in better.items()}
+    scores = lm_scoring.lm_scores(table).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert scores[0] > scores[1]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     vocabulary = ["".join(rng.choice(list("abcdeghilmnorst"), rng.integers(2, 7))) for _ in range(200)]

@@ -165,21 +165,44 @@ def test_packer_leaves_no_padding():
 
 def test_the_network_learns_and_is_normalised():
     rng = np.random.default_rng(6)
-    n = 40
+    n = 64
     seq = np.zeros(20_000, np.int64)
     for t in range(1, len(seq)):
         seq[t] = (seq[t - 1] * 3 + 1) % n if rng.random() < 0.8 else rng.integers(n)
     start, share = np.zeros(len(seq), np.int64), (np.bincount(seq, minlength=n) + 1) / (len(seq) + n)
     model = neural.LogBilinear.new(share)
     before = model.log10(seq, start).mean()
+    assert abs(before - np.log10(share[seq]).mean()) < 0.02
     trainer = neural.Trainer(model, share, rate=0.3)
-    for _ in range(10):
+    for _ in range(20):
         trainer.train(seq, start)
     assert model.log10(seq, start).mean() > before + 0.2
     context = seq[:50]
     total = sum(10 ** model.log10(np.r_[context, k], np.zeros(51, np.int64))[-1] for k in range(n))
     assert abs(total - 1) < 1e-4
-    assert np.array_equal(neural.LogBilinear.of_flat(model.flat(), n).mixing, model.mixing)
+    assert np.array_equal(neural.LogBilinear.of_flat(model.flat(), 8).mixing, model.mixing)
+
+
+def test_spans_look_back(monkeypatch):
+    rng = np.random.default_rng(7)
+    seq, share = rng.integers(0, 64, 3000), np.full(64, 1 / 64)
+    start = (np.arange(3000) // 700) * 700
+    model = neural.LogBilinear.new(share)
+    whole = model.log10(seq, start)
+    monkeypatch.setattr(neural, "SPAN", 100)
+    monkeypatch.setattr(neural, "SCORED", 250)
+    assert np.allclose(model.log10(seq, start), whole, atol=1e-5)
+
+
+def test_numbers_are_found():
+    rng = np.random.default_rng(9)
+    known = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
+    found = words.Numbering(known)
+    assert found.find(known).tolist() == list(range(len(known)))
+    others = rng.integers(-(2**63), 2**63 - 1, 5000)
+    assert (found.find(others) == np.where(np.isin(others, known), np.searchsorted(known, others), -1)).all()
+    assert words.Numbering(np.zeros(0, np.int64)).find(np.array([0, 5])).tolist() == [-1, -1]
+    assert words.Numbering(np.array([0, 1])).find(np.array([1, 0, 2])).tolist() == [1, 0, -1]
 
 
 def test_linear_models_separate():
