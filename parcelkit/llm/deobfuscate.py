@@ -1,9 +1,11 @@
-"""Restores disguised words: look-alike characters, spaced letters, repeated letters.
-
-The observed characters are the output of a noisy channel: a letter may be written as a look-alike,
-or more than once. A word's lattice has, for each character, the letters it may stand for, and for a
-run of one letter the choice of one or two; Viterbi's algorithm finds the likeliest letters under a
-character trigram model. Words that the channel leaves no choice are what they seem.
+"""Restores disguised words: look-alike characters, letters set apart, repeated letters.
+
+The observed characters are the output of a noisy channel: a letter may be written as a look-alike, or
+more than once, and a gap (a blank or a mark) may stand between any two letters. A lattice has, for
+each character, the letters it may stand for, for a run of one letter the choice of one or two, and for
+a gap between spelt letters the choice of nothing or the end of a word; Viterbi's algorithm finds the
+likeliest letters and words under a character trigram model. Words that the channel leaves no choice
+are what they seem.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
-#: log10 chances in the channel: a letter written as a look-alike, and a letter repeated.
-DISGUISED, REPEATED = -1.0, -1.0
+#: log10 chances in the channel: a letter written as a look-alike, a letter repeated, a gap that is nothing, a gap that ends a word.
+DISGUISED, REPEATED, NOTHING, ENDS = -1.0, -1.0, -0.1, -0.7
+#: A gap in what is decoded, and the most letters between two gaps.
+GAP, PART = "\0", 4
 #: Words up to SHORT characters are remembered; longer ones are decoded in pieces of about PIECE letters.
 SHORT, PIECE = 64, 128
 #: Letters a-z are 1 to 26; 0 is a word's edge, 27 any other character.
@@ -41,6 +45,8 @@ _SYMBOL[[ord(c) for c in LOOKALIKES if not c.isdigit()]] = True
 _WIDE = np.arange(256) >= 128
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in " .-_*/\n\t"]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".-_*"]] = True
 
 
 def trigrams(column: pa.Array) -> np.ndarray:
@@ -78,6 +84,15 @@ class Channel:
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for m in re.finditer(r"(.)\1*", word, re.S):
             char, times = m[0][0], len(m[0])
+            if char == GAP:
+                now = {}
+                for (a, b), (score, text) in best.items():
+                    ended = ((b, 0), score + ENDS + self.log[a][b][0], text + " ")
+                    for at, got, made in (((a, b), score + NOTHING, text), ended) if b else (((a, b), score, text),):
+                        if got > now.get(at, (-1e9, ""))[0]:
+                            now[at] = (got, made)
+                best = now
+                continue
             if 0 < m.start() == marks:
                 bare = ["".join(settled) + self._ended(best)[1]]
             choices = [(char, 0.0)] if char not in LOOKALIKES else [(c, DISGUISED) for c in LOOKALIKES[char]]
@@ -123,7 +138,10 @@ def _settle(states: dict[tuple[int, int], tuple[float, str]], settled: list[str]
     return {at: (score, text[n:]) for at, (score, text) in states.items()}
 
 
-_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W_]|[@$!|+])(?:[ .\-_*/](?:[^\W_]|[@$!|+])){2,}(?![^\W\d_])")
+_LETTERS = r"(?:[^\W_]|[@$!|+])"
+_SPACED = re.compile(rf"(?<![^\W\d_]){_LETTERS}(?:[ .\-_*/]{_LETTERS}){{2,}}(?![^\W\d_])")
+_PARTED = re.compile(rf"(?<![^\W_@$!|+]){_LETTERS}{{1,{PART}}}(?:[.\-_*]{_LETTERS}{{1,{PART}}})+(?![^\W_@$!|+])")
+_BETWEEN = re.compile(r"[ .\-_*/]")
 _WORD = re.compile(r"[A-Za-z0-9@$!|+\u0080-\U0010ffff]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(r"[0-9@$!|+][^\W\d_]|[^\W\d_][0-9@$!|+]|([^\W\d_])\1\1")
@@ -160,7 +178,8 @@ def _rows(at: np.ndarray, blanks: np.ndarray) -> np.ndarray:
 
 def suspicious(column: pa.Array) -> np.ndarray:
     """Whether each row surely holds a word to decode: a look-alike before a letter, a digit after one,
-    a letter three times in a row, or three single letters or look-alikes with gaps between them."""
+    a letter three times in a row, three single letters or look-alikes with gaps between them, or short
+    parts of a word with marks between them."""
     raw, blanks = spaced(column)
     if not len(raw):
         return np.zeros(len(blanks), bool)
@@ -177,6 +196,10 @@ def suspicious(column: pa.Array) -> np.ndarray:
     some = letter | look
     spelt = some[:n] & gap[1 : n + 1] & some[2 : n + 2] & gap[3 : n + 3] & some[4 : n + 4] & ~letter[5 : n + 5]
     hit |= spelt & ~np.r_[False, letter[: n - 1]]
+    parted = np.flatnonzero(letter[:n] & _MARK[byte[1 : n + 1]] & some[2 : n + 2]) + 1  # marks between letters: short parts on either side
+    if len(parted):
+        short = [np.logical_or.reduce([~some[np.clip(parted + k * step, 0, n)] | (parted + k * step < 0) for k in range(2, PART + 2)]) for step in (-1, 1)]
+        hit[parted[short[0] & short[1] & (some[np.maximum(parted - 2, 0)] & (parted > 1) | some[np.minimum(parted + 2, n)])]] = True  # three letters at least
     at = np.flatnonzero(hit)
     return _rows(at if begins is None else begins[at], blanks)
 
@@ -189,6 +212,6 @@ def ends_open(column: pa.Array) -> np.ndarray:
 
 def restored(text: str, channel: Channel) -> str:
     """The disguised words of a text as they are meant, with blanks between."""
-    spelt = (re.sub(r"[ .\-_*/]", "", m[0]).lower() for m in _SPACED.finditer(text))
+    apart = (_BETWEEN.sub(GAP, m[0]).lower() for pattern in (_SPACED, _PARTED) for m in pattern.finditer(text))
     words = (m[0].lower() for m in _WORD.finditer(text))
-    return " ".join([channel.decode(w) for w in spelt if _LETTER.search(w)] + [channel.decode(w) for w in words if _DISGUISED.search(w)])
+    return " ".join([channel.decode(w) for w in apart if _LETTER.search(w) and len(w) - w.count(GAP) > 2] + [channel.decode(w) for w in words if _DISGUISED.search(w)])

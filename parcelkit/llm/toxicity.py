@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, crc_mod, text_of
+from .common import arrow_batches, crc_mod, durable, text_of
 from .deobfuscate import SYMBOLS, Channel, ends_open, restored, suspicious, trigrams
 from .svm import logistic
 from .words import mix, slices, spaced
@@ -107,16 +107,20 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, n_t
     """(channel counts, kept grams' buckets, weights) from the rows not held out.
 
     The channel's counts cover all of them; labels are taken from at most ``n_toxic`` and ``n_clean``
-    rows, those with the smallest hashes of doc_id. An id labelled more than once is toxic if any label is.
+    rows, those with the smallest hashes of doc_id. An id labelled more than once is toxic if any label
+    is; an id with several texts is learned from by one of them.
     """
     docs = docs.select(F.col("doc_id"), text_of().alias("text")).where(crc_mod(F.col("doc_id"), folds) != held)
     channel = _channel_counts(docs)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = lambda label, n: [r["doc_id"] for r in known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").collect()]
-    toxic, clean = first(1, n_toxic), first(0, n_clean)
-    if not toxic or not clean:
+    first = lambda label, n: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    taken = durable(first(1, n_toxic).unionByName(first(0, n_clean)).select("doc_id", (F.col("toxic") == 1).alias("toxic")))
+    sizes = {r["toxic"]: r["count"] for r in taken.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
         return channel, None, None
-    some = docs.where(F.col("doc_id").isin(toxic + clean)).select("text", F.col("doc_id").isin(toxic).alias("toxic"))
+    # n_toxic + n_clean rows are broadcast; of an id's different texts the first by its hash stands for it.
+    texts = docs.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    some = durable(texts.select("text", "toxic"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(channel)
@@ -130,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, n_t
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(with_label), pa.array(np.bincount(at, minlength=len(found)) - with_label)], ["bucket", "t", "c"])
 
     # A gram's worth: the signed root of its likelihood ratio, near enough (t - expected) / sqrt(expected).
-    a, b = float(len(toxic)), float(len(clean))
+    a, b = float(sizes[True]), float(sizes[False])
     n = F.col("t") + F.col("c")
     worth = (F.col("t") - n * (a / (a + b))) / F.sqrt(n * (a * b / (a + b) ** 2) + 1.0)
     sums = some.mapInArrow(count, "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
@@ -144,9 +148,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, n_t
                 bits = np.packbits(scorer.present(part.column("text")) > 0, axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([v.tobytes() for v in bits], pa.binary())], ["toxic", "v"])
 
-    rows = some.mapInArrow(present, "toxic boolean, v binary").limit(2 * (n_toxic + n_clean)).collect()
+    rows = some.mapInArrow(present, "toxic boolean, v binary").collect()  # n_toxic + n_clean rows at most
     if not rows or not len(buckets):
         return channel, None, None
+    rows.sort(key=lambda r: (r["toxic"], r["v"]))
     x = np.unpackbits(np.stack([np.frombuffer(r["v"], np.uint8) for r in rows]), axis=1)[:, : len(buckets)].astype(np.float32)
     return channel, buckets, logistic(x, np.array([r["toxic"] for r in rows], np.float32), 1e-5, 1000)
 

@@ -110,7 +110,7 @@ def test_estimates_follow_the_similarity():
             same = int(1000 * share)
             x, y = pool[:1000], np.r_[pool[:same], pool[1000 : 2000 - same]]
             planes = [np.frombuffer(minhash.packed(minima.of(s)), np.uint8)[None] for s in (x, y)]
-            got.append(minhash.estimates(*planes)[0, 0])
+            got.append(minhash.estimates(*planes, 192)[0, 0])
         assert abs(np.mean(got) - share / (2 - share)) < 0.03
 
 
@@ -149,6 +149,13 @@ def test_hilbert_steps_to_neighbours():
     assert (np.abs(np.diff(cells[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_ranges_have_like_weights():
+    weights = np.array([0, 5, 5, 0, 100, 3, 9, 2, 0])
+    first, parts, n = packing.ranges(weights, 10)
+    assert parts.tolist() == [1, 1, 1, 1, 10, 1, 1, 1, 1] and first[[1, 2, 4, 5, 6, 7]].tolist() == [0, 0, 1, 11, 12, 13] and n == 14
+    assert packing.ranges(np.zeros(4, int), 10)[2] == 1
+
+
 def test_packer_leaves_no_padding():
     packer, rng = packing.Packer(0), np.random.default_rng(4)
     docs = [rng.integers(0, 50_000, n).astype(np.uint32) for n in (1, 1500, 1024, 3, 700, 1)]
@@ -236,7 +243,8 @@ def test_long_spaced_runs_and_long_words_are_restored_to_their_end(monkeypatch):
     text = ["the stupid idiot is a loser and a moron with the trash that stinks, he is pathetic"] * 50
     channel = deobfuscate.Channel(deobfuscate.trigrams(pa.array(text)))
     run = " ".join("theisandwith" * 20 + "1d10t")
-    assert deobfuscate.restored(run, channel) == "theisandwith" * 20 + "idiot"
+    assert deobfuscate.restored(run, channel).replace(" ", "") == "theisandwith" * 20 + "idiot"
+    assert deobfuscate.restored("x" * 100 + "1d10t", channel).endswith("idiot")
     assert deobfuscate.restored("theisandwith" * 20 + "1d10t", channel) == "theisandwith" * 20 + "idiot"
     words = ["1d10t" * 60, "st00piiid" * 40, "6" * 3 + "1l" * 300 + "d10t"]
     monkeypatch.setattr(deobfuscate, "PIECE", 10**9)
@@ -259,3 +267,12 @@ def test_look_alikes_on_either_side_of_a_letter_are_restored():
     wide = pa.array(["élan", "漢字 1d10t", "x", "тупооой", "plain", "naz!"])
     assert deobfuscate.suspicious(wide).tolist() == [False, True, False, True, False, False]
     assert deobfuscate.ends_open(wide).tolist() == [False] * 5 + [True]
+
+
+def test_gaps_are_part_of_the_lattice():
+    text = ["you the stupid idiot is a loser and a moron with the trash that stinks, you are pathetic, hi and stop you"] * 50
+    channel = deobfuscate.Channel(deobfuscate.trigrams(pa.array(text)))
+    for shown, meant in {"y o u i d i o t": "you idiot", "y o u  i d i o t": "you idiot", "st.up.id": "stupid", "stu-pid": "stupid", "id_1ot": "idiot", "t-h-e-l-0-s-e-r": "the loser", "st*up*1d": "stupid"}.items():
+        assert meant in deobfuscate.restored(f"so {shown}, they said", channel), (shown, deobfuscate.restored(f"so {shown}, they said", channel))
+        assert deobfuscate.suspicious(pa.array([f"so {shown}, they said", "plain"])).tolist() == [True, False], shown
+    assert deobfuscate.suspicious(pa.array(["pathetic-stinking", "a.", "-a-", "x pathetic.is", ""])).tolist() == [False] * 5
