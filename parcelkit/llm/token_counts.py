@@ -2,8 +2,9 @@
 
 Blanks and line ends are never part of a token of the vocabulary and no rule looks across them, so a
 text may be cut there: long texts are cut into parts of bounded size, and a part's count is the sum
-over what stands between blanks. A bounded memory of such strings keeps their counts; strings that
-it lacks are encoded by the tokenizers library in one batch.
+over what stands between blanks. Parts are gathered into batches of equal bytes, whole texts and parts
+of texts alike. A bounded memory keeps the counts of strings; those of a batch's strings that it lacks
+are encoded by the tokenizers library in one call.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from .words import slices
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Characters of a part, bytes of a batch, and strings remembered (two generations of half as many).
+#: Characters of a part, UTF-8 bytes of a batch, and strings remembered (two generations of half as many).
 PART, BATCH, REMEMBERED = 1 << 16, 1 << 19, 600_000
 
+_BREAK = re.compile("[ \n]")
 _TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
@@ -39,11 +41,11 @@ class Lengths:
     def _parts(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > PART:
-            cut = text.find(" ", at + PART)
-            if cut < 0:
+            cut = _BREAK.search(text, at + PART)
+            if cut is None:
                 break
-            yield text[at:cut]
-            at = cut + 1
+            yield text[at : cut.start()]
+            at = cut.end()
         yield text[at:] if at else text
 
     def _learn(self, strings: list[str]) -> None:
@@ -68,7 +70,7 @@ class Lengths:
         for k, text in enumerate(texts):
             for part in self._parts(text):
                 batch.append((k, part))
-                size += len(part)
+                size += len(part) if part.isascii() else len(part.encode())
                 if size >= BATCH:
                     self._batch(batch, totals)
                     batch, size = [], 0
@@ -76,15 +78,20 @@ class Lengths:
         return totals
 
     def _batch(self, batch: list[tuple[int, str]], totals: list[int]) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {"": 0}
+        waiting, unseen = [], []
         for k, part in batch:
-            if len(self.young) > self.most:
-                self.old, self.young = self.young, {"": 0}
             strings = part.replace("\n", " ").split(" ")
             counts = list(map(self.young.get, strings))
             try:
                 totals[k] += sum(counts)
-            except TypeError:
-                self._learn([s for s, n in zip(strings, counts, strict=True) if n is None])
+            except TypeError:  # a string without a count
+                waiting.append((k, strings))
+                unseen += [s for s, n in zip(strings, counts, strict=True) if n is None]
+        if waiting:
+            self._learn(unseen)
+            for k, strings in waiting:
                 totals[k] += sum(map(self.young.__getitem__, strings))
 
 
