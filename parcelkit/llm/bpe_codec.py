@@ -190,7 +190,7 @@ def codec_digests(docs: DataFrame, vocabulary_name: str = VOCABULARY, leaf: int
     """Encodes and decodes every row of ``docs``; returns doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no tokens. Special strings inside texts are their tokens. Rows repeated
-    with the same doc_id and text give as many rows. An empty table gives an empty result; other
+    with the same doc_id and text give as many rows, but long ones are encoded once. An empty table gives an empty result; other
     columns are not read.
     """
     arrow_batches(docs.sparkSession)
@@ -207,29 +207,30 @@ def codec_digests(docs: DataFrame, vocabulary_name: str = VOCABULARY, leaf: int
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for d, n, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "copies", "text")), strict=True):
                     key = hashlib.sha256(text.encode()).digest()
-                    rows += [(d, key, no, hard, piece) for no, (hard, piece) in enumerate(pieces_of(text, list(codec.special), leaf))]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate([part.schema.field("doc_id").type, pa.binary(), pa.int32(), pa.bool_(), pa.string()])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "no", "hard", "piece"])
+                    rows += [(d, n, key, no, hard, piece) for no, (hard, piece) in enumerate(pieces_of(text, list(codec.special), leaf))]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate([part.schema.field("doc_id").type, pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.string()])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copies", "key", "no", "hard", "piece"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_codec(vocabulary(vocabulary_name))
         for batch in batches:
             ids = [codec.encode(p).astype("<u4").tobytes() for p in batch.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "no", "hard")), pa.array(ids, pa.binary())], ["doc_id", "key", "no", "hard", "ids"])
+            kept = ["doc_id", "copies", "key", "no", "hard"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(ids, pa.binary())], [*kept, "ids"])
 
     def joined(codec: ByteCodec, batch: pa.RecordBatch) -> Iterator[tuple]:
         for d, parts in zip(batch.column("doc_id").to_pylist(), batch.column("parts"), strict=True):
-            distinct, copies = {}, 0
-            for p in parts.as_py():
-                copies += p["no"] == 0
-                distinct[p["no"]] = (p["hard"], np.frombuffer(p["ids"], "<u4"))
-            ids = join_all(codec, [distinct[no] for no in sorted(distinct)])
-            yield from [(d, ids)] * copies
+            in_order = sorted(parts.as_py(), key=lambda p: p["no"])
+            yield d, join_all(codec, [(p["hard"], np.frombuffer(p["ids"], "<u4")) for p in in_order])
 
     short = docs.where(F.length("text") <= leaf).mapInArrow(*_mapped(kind, vocabulary_name, whole))
-    pieces = docs.where(F.length("text") > leaf).mapInArrow(split, f"doc_id {kind}, key binary, no int, hard boolean, piece string")
-    encoded = pieces.repartition("key", "no").mapInArrow(encode, f"doc_id {kind}, key binary, no int, hard boolean, ids binary")
-    lists = encoded.groupBy("doc_id", "key").agg(F.collect_list(F.struct("no", "hard", "ids")).alias("parts"))
-    return short.unionByName(lists.select("doc_id", "parts").mapInArrow(*_mapped(kind, vocabulary_name, joined)))
+    long = docs.where(F.length("text") > leaf).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    shape = f"doc_id {kind}, copies long, key binary, no int, hard boolean"
+    encoded = long.mapInArrow(split, f"{shape}, piece string").repartition("key", "no").mapInArrow(encode, f"{shape}, ids binary")
+    lists = encoded.groupBy("doc_id", "key").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("no", "hard", "ids")).alias("parts"))
+    # A struct of id and copies goes through the codec in the id's place; the copies come back as rows.
+    texts = lists.select(F.struct("doc_id", "copies").alias("doc_id"), "parts").mapInArrow(*_mapped(f"struct<doc_id:{kind},copies:bigint>", vocabulary_name, joined))
+    again = texts.select("doc_id.*", "n_tokens", "ids_sha256", "decoded_sha256", F.explode(F.sequence(F.lit(1), F.col("doc_id.copies"))))
+    return short.unionByName(again.select(short.columns))
