@@ -3,7 +3,7 @@
 A text is a vector of hashed counts of its letters' bigrams and trigrams (bytes, A-Z lower-cased).
 Linear support vector machines, one for each pair, tell the families apart; within the winning
 family others, again one for each pair, tell its languages apart. Training takes a bounded number of
-documents of each language, those with the smallest hashes of their ids; every text is predicted
+documents of each language, those with the smallest hashes of id and text; every text is predicted
 from all its bytes.
 """
 
@@ -113,14 +113,21 @@ class Hierarchy:
 def learn(docs: DataFrame, each: int = EACH, most: int = ALL) -> Hierarchy | None:
     """Learns from at most ``each`` rows of a language and ``most`` in all; None without any.
 
-    ``docs`` has doc_id, text and lang; the rows taken are those with the smallest hashes of doc_id.
+    ``docs`` has doc_id, text and lang; the rows taken are those with the smallest hashes of doc_id and
+    text, repeated rows once. Languages beyond ``most`` have one row each.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "lang")
-    n_langs = known.agg(F.count_distinct("lang")).first()[0]
+    hashed = F.xxhash64("doc_id", "text").alias("h")
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text", hashed)
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    n_langs = sizes.count()
     if not n_langs:
         return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [r["doc_id"] for r in known.withColumn("rank", rank).where(F.col("rank") <= max(1, min(each, most // n_langs))).select("doc_id").collect()]
+    each = max(1, min(each, most // n_langs))
+    # Rows whose hash lies in the lower share that holds about four times the rows wanted; all of them where there are no more.
+    low = F.shiftrightunsigned("h", 11).cast("double") / 2.0**53 * F.col("n") < 4.0 * each + 64
+    few = known.join(F.broadcast(sizes), "lang").where(low).groupBy("lang", "h").agg(F.min("text").alias("text"))  # repeated rows once; n_langs rows broadcast
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = few.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,10 +135,10 @@ def learn(docs: DataFrame, each: int = EACH, most: int = ALL) -> Hierarchy | Non
                 values = np.minimum(255, np.rint(scaled(counted(part.column("text"))) * 255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in values], pa.binary())], ["lang", "v"])
 
-    some = docs.where(F.col("doc_id").isin([i for i in ids if i is not None]) & F.col("lang").isNotNull()).select("lang", text_of().alias("text"))
-    rows = some.mapInArrow(count, "lang string, v binary").limit(2 * most).collect()
+    rows = some.mapInArrow(count, "lang string, v binary").collect()  # ``each`` rows of each language
     if not rows:
         return None
+    rows.sort(key=lambda r: (r["lang"], r["v"]))
     x = np.stack([np.frombuffer(r["v"], np.uint8) for r in rows]).astype(np.float32) / 255
     return Hierarchy(x, np.array([r["lang"] for r in rows]))
 
