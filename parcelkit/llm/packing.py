@@ -1,13 +1,15 @@
 """Packing along a space-filling curve.
 
 A document's words are hashed into a vector; a fixed projection takes it to three dimensions, and the
-cell it falls in has a place on a Hilbert curve. Rows are range-partitioned and sorted by that place
-(ties by a hash of the id, so that copies spread over partitions), and each partition is packed as it
-streams by: documents are cut where a sequence is full. What is left at the end of a partition is cut
-into sequences whose lengths are powers of two, which need no padding; so none is padded.
-
-A partition holds one open sequence and one document at a time. Text moves once, in the range
-shuffle, and is encoded once, after it.
+cell it falls in has a place on a Hilbert curve. The curve is cut into ranges of about equal bytes, by
+a histogram of the bytes along it; a step of the histogram that is heavier than a range, where a
+document has very many copies or likes, is dealt to several ranges by a hash of the id. Ranges are
+sorted by place, and each is packed as it streams by: documents are cut where a sequence is full. What
+is left at the end of a range is cut into sequences whose lengths are powers of two, which need no
+padding; so none is padded.
+
+A task holds one open sequence and one document at a time, and the number of ranges follows the input,
+so tasks don't grow with it. Text moves once, to its range, and is encoded once, after that.
 """
 
 from __future__ import annotations
@@ -17,21 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, text_of
 from .tokenizer import byte_codec, vocabulary
-from .words import of_column, slices
+from .words import buffers, of_column, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 1024
 END = 0
 #: Hashed dimensions, projected dimensions, bits of each on the curve.
 HASHED, DIMENSIONS, BITS = 256, 3, 16
-#: Sequence ids are the partition's number times this, plus a count.
+#: Sequence ids are the range's number times this, plus a count.
 STRIDE = 1 << 40
+#: Bytes of a range, steps of the histogram (as bits), and bytes that a row counts beside its text's.
+RANGE_BYTES, STEP_BITS, ROW_BYTES = 1 << 24, 18, 64
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -120,6 +123,26 @@ class Packer:
         return rows
 
 
+def ranges(weights: np.ndarray, most: int = RANGE_BYTES) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each step of the histogram its first range and the number of ranges it is dealt to, and the number of all.
+
+    Light steps fill a range one after another; a step of more than ``most`` bytes has ranges of its own.
+    """
+    first, parts = np.zeros(len(weights), np.int64), np.ones(len(weights), np.int64)
+    now, held = 0, 0
+    for step in np.flatnonzero(weights).tolist():
+        w = int(weights[step])
+        if held and held + w > most:
+            now, held = now + 1, 0
+        first[step] = now
+        if w > most:
+            parts[step] = -(-w // most)
+            now += int(parts[step])
+        else:
+            held += w
+    return first, parts, now + 1
+
+
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -132,29 +155,48 @@ def pack(docs: DataFrame, vocabulary_name: str = VOCABULARY, length: int = LENGT
     """
     arrow_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(F.col("doc_id"), text_of().alias("text"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << STEP_BITS, np.int64)
+        for whole in batches:
+            for part in slices(whole, "text"):
+                np.add.at(total, curve_places(part.column("text")) >> (DIMENSIONS * BITS - STEP_BITS), np.diff(buffers(part.column("text"))[1]) + ROW_BYTES)
+        step = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(step, pa.int64()), pa.array(total[step])], ["step", "bytes"])
+
+    weights = np.zeros(1 << STEP_BITS, np.int64)
+    for r in docs.select("text").mapInArrow(weigh, "step long, bytes long").groupBy("step").agg(F.sum("bytes").alias("bytes")).collect():  # 2 ** STEP_BITS rows at most
+        weights[r["step"]] = r["bytes"]
+    first, parts, n_ranges = ranges(weights)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(curve_places(part.column("text")), pa.int64())], ["doc_id", "text", "place"])
+                places = curve_places(part.column("text"))
+                step = places >> (DIMENSIONS * BITS - STEP_BITS)
+                of = first[step] + part.column("tie").to_numpy() % parts[step]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(of, pa.int32()), pa.array(places, pa.int64()), part.column("tie")], ["doc_id", "text", "range", "place", "tie"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, packer, schema = byte_codec(vocabulary(vocabulary_name)), Packer(TaskContext.get().partitionId() * STRIDE, length), None
-        types = [pa.int64()] * 6
+        codec, packer, now, kind = byte_codec(vocabulary(vocabulary_name)), None, None, None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([schema, *types])], _NAMES)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([kind, *[pa.int64()] * 6])], _NAMES)
 
         for batch in batches:
-            schema, rows = batch.schema.field("doc_id").type, []
+            kind, rows = batch.schema.field("doc_id").type, []
             for part in slices(batch, "text"):
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for of, doc, text in zip(*(part.column(c).to_pylist() for c in ("range", "doc_id", "text")), strict=True):
+                    if of != now:
+                        rows += packer.close() if packer else []
+                        now, packer = of, Packer(of * STRIDE, length)
                     rows += packer.add(doc, np.append(codec.encode(text), np.uint32(END)))
             yield batch_of(rows)
-        if schema is not None:
+        if packer:
             yield batch_of(packer.close())
 
-    placed = docs.select(F.col("doc_id"), text_of().alias("text")).mapInArrow(place, f"doc_id {kind}, text string, place long")
-    spread = placed.withColumn("tie", F.xxhash64("doc_id"))
-    ordered = spread.repartitionByRange("place", "tie").sortWithinPartitions("place", "tie", "doc_id", "text")
-    return ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tied = docs.withColumn("tie", F.pmod(F.xxhash64("doc_id"), F.lit(2**31)))
+    placed = tied.mapInArrow(place, f"doc_id {kind}, text string, range int, place long, tie long")
+    ordered = placed.repartitionById(n_ranges, "range").sortWithinPartitions("range", "place", "tie", "doc_id", "text")
+    return ordered.select("range", "doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
