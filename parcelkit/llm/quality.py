@@ -155,11 +155,12 @@ def quality(docs: DataFrame, labels: DataFrame, rate: float = RATE, level: float
 def keep_good(docs: DataFrame, labels: DataFrame, rate: float = RATE, level: float = LEVEL) -> DataFrame:
     """The rows of ``docs`` whose verdict is to stay, with all their columns.
 
-    The measures are taken twice, for the cutoffs and for the verdict, so that no text is shuffled.
+    Texts are measured once, and kept with their measures while the cutoffs are chosen.
     """
-    chosen = cutoffs(_narrow(measured(docs.select("doc_id", "text", "lang"))), labels, rate, level)
-    whole = docs.select(F.struct("*").alias("_row"), F.col("text"), F.col("lang"))  # own names can't clash with the measures'
-    return measured(whole).where(verdict(chosen)).select("_row.*")
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("text"), F.col("lang"))  # own names can't clash with the measures'
+    found = measured(whole)
+    found = durable(found.select("_row", *_narrow(found).columns))
+    return found.where(verdict(cutoffs(_narrow(found), labels, rate, level))).select("_row.*")
 
 
 def _oracle() -> str:
