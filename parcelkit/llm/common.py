@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelkit.plans.lineage import cut
+
 #: The ASCII letters, the only ones that normalisation folds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,18 +33,25 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint.
+#: Cuts the lineage with a reliable checkpoint, in the folder the cluster names in spark.checkpoint.dir.
+durable = cut
+
+
+#: A key is large if it has more than LARGE_ROWS rows and more than one in LARGE_KEYS of all rows.
+LARGE_ROWS, LARGE_KEYS = 512, 10_000
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row for each key, with its number of rows in ``size``.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where none is named
-    (tests, a notebook on one machine) does it set a temporary one.
+    The rows of a large key stay where they are and meet the key's group by broadcast; of ``total`` rows
+    fewer than LARGE_KEYS keys can be large. All other keys are shuffled, so no task gets more than a few
+    of them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    most = max(LARGE_ROWS, total // LARGE_KEYS)
+    large, small = groups.where(F.col(size) > most), groups.where(F.col(size) <= most)
+    hot = rows.join(F.broadcast(large), on)
+    return hot.unionByName(rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(small, on))
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:

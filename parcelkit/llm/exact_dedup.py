@@ -5,6 +5,9 @@ stand. Each distinct chunk gets an identifier, and the identifiers are verified:
 (identifier, chunk) pairs are counted, and an identifier with two contents is replaced by one with
 the content's rank. A text's recipe is its ordered list of identifiers; equal recipes are equal
 texts. Only distinct chunks move, once, after a map-side distinct; grouping moves recipes alone.
+
+Recipes are grouped under a short digest, which is verified like the chunks' identifiers; the digest
+then takes each row to its group. Large groups are met by broadcast, so no task gets all their rows.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, durable, fold, text_of
+from .common import LOWER, UPPER, durable, fold, join_sized, text_of
 
 #: A chunk has at least LEAST characters, ends after the first cut point beyond, and has at most MOST.
 LEAST, MOST = 512, 8192
-#: Cut points: a blank or line end after a letter of a fixed set that holds about a quarter of word ends.
-CUT = f"(?s).{{{LEAST},{MOST}}}?(?:(?<=[dgrtn])[ \\n]|\\z)|.{{1,{MOST}}}"
+#: Cut points: a blank or line end after a letter of a fixed set that holds about a quarter of word ends, or
+#: after any letter beyond ASCII; in scripts without blanks, a mark or one of their frequent characters.
+CUT = f"(?s).{{{LEAST},{MOST}}}?(?:(?<=[dgrtn[^\\x00-\\x7f]])[ \\n]|(?<=[。、，！？のはをにがでと的一是不了我在有])|\\z)|.{{1,{MOST}}}"
 
 
 def chunks_of(text: Column) -> Column:
@@ -48,7 +52,11 @@ def recipes(docs: DataFrame, identify: Callable[[Column], Column] = F.xxhash64)
     return row.join(lists, "_row", "left").select("doc_id", "text_sha256", F.coalesce("recipe", empty).alias("recipe"))
 
 
-def exact_dedup(docs: DataFrame, identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def _digest(recipe: Column) -> Column:
+    return F.struct(F.xxhash64(recipe).alias("a"), F.xxhash64(F.lit(1), recipe).alias("b"))
+
+
+def exact_dedup(docs: DataFrame, identify: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _digest) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are after lower-casing A-Z; null is the empty text, and empty texts
@@ -58,9 +66,12 @@ def exact_dedup(docs: DataFrame, identify: Callable[[Column], Column] = F.xxhash
     them apart); a null id beside real ones goes. An empty table gives an empty result; other
     columns are not read.
     """
-    found = durable(recipes(docs, identify))
-    groups = found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return found.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = durable(recipes(docs, identify).withColumn("digest", digest(F.col("recipe"))))
+    groups = durable(found.groupBy("digest", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    on = ["digest", "recipe"] if groups.groupBy("digest").count().where("count > 1").limit(1).count() else ["digest"]
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    joined = join_sized(found.select("doc_id", "text_sha256", *on), groups.select(*on, "keep_id", "group_size"), on, "group_size", total)
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 ORACLE_SQL = f"""
