@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_sized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,21 +13,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round ties every node's larger neighbours to the smallest node around it, then its smaller
     neighbours likewise; after a number of rounds that grows with the logarithm of the longest path
-    every edge points to its component's smallest node. A round shuffles edges by one end, with a
-    map-side minimum; no node's neighbours are gathered.
+    every edge points to its component's smallest node. A node's smallest neighbour comes from a
+    map-side minimum; the edges of a node with many of them meet it by broadcast, so no task gets all
+    the neighbours of one node.
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    n, state = edges.count(), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        smaller = larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.withColumnRenamed("m", "v")).distinct()
-        edges = durable(smaller)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        larger = durable(join_sized(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = larger.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        smaller = join_sized(larger, least, ["u"], "n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = durable(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        n, *now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, *now) == state:
             break
-        state = now
+        state = (n, *now)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

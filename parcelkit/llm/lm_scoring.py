@@ -208,7 +208,7 @@ def _train(rows: DataFrame, tokens: float, share: np.ndarray, start: np.ndarray)
             total += w * np.frombuffer(v.as_py(), np.float32)
         return pa.table({"part": table.column("part").slice(0, 1), "v": pa.array([(total / weight.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-    dealt = rows.withColumn("t", F.pmod(F.shiftrightunsigned("h", 8), F.lit(trainers)).cast("int")).repartition(trainers, "t").sortWithinPartitions("t", "h", "doc_id", "units")
+    dealt = rows.withColumn("t", F.pmod(F.shiftrightunsigned("h", 8), F.lit(trainers)).cast("int")).repartitionById(trainers, "t").sortWithinPartitions("t", "h", "doc_id", "units")
     weights = dealt.select("t", "units").mapInArrow(run, "part int, t int, tokens long, v binary").groupBy("part").applyInArrow(mean, "part int, v binary").collect()
     if not weights:
         return start

@@ -5,13 +5,14 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelkit.llm import bpe_codec, exact_dedup, graph, language_id, lm_scoring, minhash, packing, quality, queries, sharding, token_counts, tokenizer, toxicity
+from parcelkit.llm import bpe_codec, common, exact_dedup, graph, language_id, lm_scoring, minhash, packing, quality, queries, sharding, token_counts, tokenizer, toxicity
 from parcelkit.llm.common import documents
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,8 +149,6 @@ def test_lm_counts_beyond_what_a_task_keeps(spark, docs, monkeypatch):
 
 
 def test_lm_prefers_text_to_shuffled_and_random_words(spark, sf_dir):
-    from pathlib import Path
-
     table = documents(spark, str(Path(sf_dir).parent / "sf0.01")).where("length(text) > 400").select("doc_id", "text")
     held = [r for r in table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()]
     rng = np.random.default_rng(3)
@@ -237,7 +236,7 @@ def test_permutations_walk_back(spark, n):
         assert sum(r["p"] == r["id"] for r in got) < 10
 
 
-def linked(rows):
+def linked(rows, percent=85):
     sets = {}
     for d, t, *_ in rows:
         w = words_of(t)
@@ -254,7 +253,7 @@ def linked(rows):
         for b in ids[:i]:
             if sets[a] and sets[b]:
                 k = len(sets[a] & sets[b])
-                if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
                     x, y = top(a), top(b)
                     root[max(x, y)] = min(x, y)
     return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
@@ -273,11 +272,48 @@ def test_near_duplicates(spark, docs, rows, monkeypatch):
 
 
 def test_near_duplicates_with_an_estimate_that_never_rules_out(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(minhash, "FLOOR", -1.0)
+    monkeypatch.setattr(minhash, "ERRORS", 1000.0)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got == {d: c for d, (_, c, _) in linked(rows).items()}
 
 
+def test_near_duplicates_at_another_threshold(spark, docs, rows):
+    expected = linked(rows, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 80).collect()} == expected
+
+
+def test_large_keys_meet_by_broadcast(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "LARGE_ROWS", 1)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {d: c for d, (_, c, _) in linked(rows).items()}
+    sizes = collections.Counter((t or "").translate(FOLD) for _, t, *_ in rows)
+    text = {d: (t or "").translate(FOLD) for d, t, *_ in rows}
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == len(rows) and all(r["group_size"] == sizes[text[r["doc_id"]]] for r in got)
+    clashing = exact_dedup.exact_dedup(docs, digest=lambda c: F.struct(F.size(c).alias("a")))
+    assert by_id(clashing) == by_id(exact_dedup.exact_dedup(docs))
+
+
+def test_an_id_with_two_texts_is_one_document(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[::-1])), (5, " ".join(words) + " x"), (5, " ".join(words[::-1]) + " x"), (7, " ".join(words[30:] + words[:30][::-1]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (5, 1), (5, 1), (7, 7)]
+
+
+def test_near_copies_found_on_the_documents(spark, sf_dir):
+    """Queries: every row whose id is divisible by 50, against all rows."""
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, str(Path(sf_dir).parent / "sf0.01")).collect()]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for d, t in rows for w in [words_of(t)]}
+    component = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, str(Path(sf_dir).parent / "sf0.01"))).collect()}
+    found = []
+    for d in (d for d, _ in rows if d % 50 == 0 and sets[d]):
+        for other, s in sets.items():
+            k = len(sets[d] & s)
+            if other != d and s and 100 * k >= 85 * (len(sets[d]) + len(s) - k):
+                found.append(component[d] == component[other])
+    assert found and np.mean(found) >= 0.9
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
