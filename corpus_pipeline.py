@@ -3,6 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller writes and reads again
 for the next stage. All but the last return the columns of ``docs``; the last returns packed pieces.
 
+Near-duplicates are those of a similarity of 0.8 or more over five-word shingles.
+
 doc_id is the key of the documents: rows repeated with the same doc_id and text are one document and
 stay or go together. A null doc_id is an id like any other where rows are kept by id; null texts are
 empty, fail the quality rules and go there. Empty tables pass through; other columns are carried along.
@@ -10,7 +12,6 @@ empty, fail the quality rules and go there. Empty tables pass through; other col
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from parcelkit.llm import exact_dedup, minhash, packing, quality, toxicity
 from parcelkit.llm.common import text_of
+from parcelkit.plans.lineage import checkpoint_folder, delete
+
+#: Near copies share at least so many per cent of their shingles.
+NEAR = 80
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return _of(docs, minhash.near_duplicates(docs).where("kept"))
+    return _of(docs, minhash.near_duplicates(docs, NEAR).where("kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,13 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each but the last is written to the checkpoint folder and read again."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; each but the last is written to the checkpoint folder and read again.
+
+    A stage's table is deleted once the next one's is written; that of the last but one stays, for the result reads it.
+    """
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4()}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return STAGES[-1][1](spark, docs, sf_dir)
