@@ -17,21 +17,21 @@ def _mean_of(values: Column) -> Column:
 
 
 def winsorized_mean(value: Column, limits: Sequence[float]) -> Column:
-    """Mean after the lowest and the highest share take the nearest value that stays."""
+    """Mean after the lowest and the highest share take the nearest value that stays; int(share * n) values each, in floating point."""
     if len(limits) != 2 or not all(0 <= x <= 1 for x in limits):
         raise ValueError("limits are two numbers between 0 and 1")
     s = _sorted(value)
     n = F.size(s)
-    low, high = (F.floor(F.lit(float(x)) * n + 1e-9).cast("int") for x in limits)
+    low, high = (F.floor(F.lit(float(x)) * n).cast("int") for x in limits)
     return _mean_of(F.transform(s, lambda x, i: F.greatest(F.get(s, low), F.least(F.get(s, n - high - 1), x))))
 
 
 def trim_mean(value: Column, share: float) -> Column:
-    """Mean without the lowest and the highest share."""
+    """Mean without the lowest and the highest share; int(share * n) values each, in floating point."""
     if not 0 <= share < 0.5:
         raise ValueError("the share to cut lies between 0 and 0.5")
     s = _sorted(value)
-    cut = F.floor(F.lit(float(share)) * F.size(s) + 1e-9).cast("int")
+    cut = F.floor(F.lit(float(share)) * F.size(s)).cast("int")
     return _mean_of(F.slice(s, cut + 1, F.greatest(F.size(s) - 2 * cut, F.lit(0))))
 
 

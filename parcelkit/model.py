@@ -10,6 +10,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import types as T
 
 #: Columns of each kind of feature besides the element keys.
@@ -28,6 +29,16 @@ DATA_TYPES: dict[str, int] = {
 }
 
 
+def key_schema(df, keys: Sequence[str]) -> str:
+    """The keys' columns of a DataFrame, as the beginning of a kernel's schema."""
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def key_columns(key: tuple, schema: pa.Schema, n: int) -> dict:
+    """A group's key as ``n`` equal rows; the keys are the first columns of ``schema``."""
+    return {schema[k].name: pa.array([v.as_py()] * n, schema[k].type) for k, v in enumerate(key)}
+
+
 def register_data_type(name: str, dimensions: int = 3) -> None:
     if name in DATA_TYPES:
         raise ValueError(f"{name} is registered already")

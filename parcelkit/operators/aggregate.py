@@ -8,6 +8,8 @@ Dimension tables are joined as they are: Spark broadcasts them where their measu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -46,19 +48,40 @@ def parcel_aggregation(
     return over_time(frames, time_method, time_method_params, keys)
 
 
+def _within(grid: DataFrame, seeds: DataFrame, radius: float) -> DataFrame:
+    """(voxel, label, d) of the voxels within the radius of each seed: both are put into cells of the
+    radius' size, and a seed meets the voxels of the 27 cells around it."""
+    cell = lambda c, k=0: (F.floor(F.col(c) / radius) + k).cast("long")
+    voxels = grid.select("voxel", *"xyz", *[cell(c).alias(f"c{c}") for c in "xyz"])
+    around = F.array(*[F.struct(*[F.lit(k).alias(f"k{c}") for k, c in zip(o, "xyz", strict=True)]) for o in product((-1, 0, 1), repeat=3)])
+    moved = seeds.select(F.col("seed").alias("label"), *[F.col(c).alias(f"s{c}") for c in "xyz"], F.explode(around).alias("k"))
+    moved = moved.select("label", "sx", "sy", "sz", *[(cell(f"s{c}") + F.col(f"k.k{c}")).alias(f"c{c}") for c in "xyz"])
+    square = sum(((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "xyz"), F.lit(0.0))
+    return voxels.join(moved, ["cx", "cy", "cz"]).select("voxel", "label", square.alias("d")).where(F.col("d") <= float(radius) ** 2)
+
+
 def sphere_voxels(grid: DataFrame, seeds: DataFrame, radius: float | None, allow_overlap: bool = False) -> DataFrame:
     """(voxel, label) of the voxels within the radius of each seed; without a radius, the nearest one.
 
-    A range join of two dimension tables, done before any signal is read.
+    A join of two dimension tables on cells of space, done before any signal is read. The nearest voxel
+    is looked for in growing spheres, until every seed has one.
     """
-    d = {c: (F.col(f"g.{c}") - F.col(f"s.{c}")) for c in "xyz"}
-    square = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
     if radius:
-        near = square <= float(radius) ** 2
-        found = grid.alias("g").join(seeds.alias("s"), near).select("g.voxel", F.col("s.seed").alias("label"))
+        found = _within(grid, seeds, radius).select("voxel", "label")
     else:
-        all_pairs = grid.alias("g").join(seeds.alias("s"), square >= 0).select("g.voxel", F.col("s.seed").alias("label"), square.alias("d"))
-        found = all_pairs.groupBy("label").agg(F.min_by("voxel", F.struct("d", "voxel")).alias("voxel")).select("voxel", "label")
+        ends = grid.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        far = seeds.agg(*[F.max(F.greatest(F.abs(F.col(c) - F.lit(ends[f"lo{c}"])), F.abs(F.col(c) - F.lit(ends[f"hi{c}"])))).alias(c) for c in "xyz"]).first() if ends["n"] else None
+        most = sum((far[c] or 0.0) ** 2 for c in "xyz") ** 0.5 if far else 0.0
+        reach = max(1e-9, max((float(ends[f"hi{c}"] - ends[f"lo{c}"]) for c in "xyz"), default=1.0) / max(1.0, ends["n"] ** (1 / 3))) if ends["n"] else 1.0
+        rest, parts = seeds, []
+        while ends["n"]:
+            near = _within(grid, rest, reach).groupBy("label").agg(F.min_by("voxel", F.struct("d", "voxel")).alias("voxel")).select("voxel", "label")
+            parts.append(near)
+            rest = rest.join(near.select(F.col("label").alias("seed")), "seed", "left_anti")
+            if reach > most or not rest.limit(1).count():
+                break
+            reach *= 2
+        found = reduce(DataFrame.unionByName, parts) if parts else grid.select("voxel", F.lit("").alias("label")).where("false")
     if not allow_overlap and found.groupBy("voxel").count().where("count > 1").limit(1).count():
         raise ValueError("spheres overlap")
     return found
@@ -102,8 +125,3 @@ def temporal_snr(signal: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def with_index(frames: DataFrame, labels: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds idx, the label's place."""
     return frames.withColumn("idx", F.array_position(F.array(*map(F.lit, labels)), F.col("col")).cast("int") - 1)
-
-
-def frame_number(df: DataFrame, order: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds timepoint, from 0 in each element."""
-    return df.withColumn("timepoint", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

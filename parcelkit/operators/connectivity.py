@@ -1,118 +1,186 @@
 """Connectivity: matrices of pairwise measures of series, and edge time series.
 
 A series table has the element's keys, timepoint, idx (the series' place), col (its name) and value.
-Pairs come from an equi-join on the frame, so the cost is frames times pairs and nothing is crossed.
+An element's series go to one task as a matrix of frames by series, so the shuffle is the series
+themselves and the pairs are matrix products; nothing is joined with itself. Missing values (null or
+NaN) leave out a frame for the pairs they are in; measures of the whole matrix leave it out for all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelkit.functions import stats
+from parcelkit.model import key_columns, key_schema
 
 KEYS = ("element",)
+_CELLS = "row string, row_idx int, col string, col_idx int, value double"
+#: Rows of a matrix that leave a kernel at a time.
+BLOCK = 1024
+
+
+def ranks(x: np.ndarray, method: str = "mean") -> np.ndarray:
+    """Ranks from 1 down each column; ties share their mean rank, or their least."""
+    out = np.empty(x.shape)
+    for k in range(x.shape[1]):
+        values, at, n = np.unique(x[:, k], return_inverse=True, return_counts=True)
+        last = np.cumsum(n)
+        out[:, k] = ((2 * last - n + 1) / 2 if method == "mean" else last - n + 1)[at]
+    return out
+
+
+def pairwise(x: np.ndarray, y: np.ndarray, correlation: bool = True) -> np.ndarray:
+    """Correlation or covariance of every column of ``x`` with every column of ``y``, over the frames that both have;
+    NaN without any, and for a correlation with a constant series."""
+    x, y = (v - np.nan_to_num(np.nanmean(np.where(np.isnan(v).all(axis=0), 0, v), axis=0)) for v in (x, y))
+    a, b = ~np.isnan(x), ~np.isnan(y)
+    x, y, a, b = np.where(a, x, 0), np.where(b, y, 0), a.astype(float), b.astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = a.T @ b
+        mx, my = (x.T @ b) / n, (a.T @ y) / n
+        cov = (x.T @ y) / n - mx * my
+        if not correlation:
+            return cov
+        vx, vy = ((x * x).T @ b) / n - mx * mx, (a.T @ (y * y)) / n - my * my
+        scale = 1e-14 * np.maximum(1e-300, np.maximum((x * x).max(axis=0, initial=0)[:, None], 0))  # rounding of a constant series
+        ok = (vx > scale) & (vy > 1e-14 * np.maximum(1e-300, (y * y).max(axis=0, initial=0)[None]))
+        return np.where(ok, np.clip(cov / np.sqrt(np.where(ok, vx * vy, 1)), -1, 1), np.nan)
+
+
+def rank_pairwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rank correlations over the frames that both columns have; ranks are taken over these frames alone."""
+    whole = [~np.isnan(v).any(axis=0) for v in (x, y)]
+    out = np.full((x.shape[1], y.shape[1]), np.nan)
+    if whole[0].any() and whole[1].any():
+        out[np.ix_(*whole)] = pairwise(ranks(x[:, whole[0]]), ranks(y[:, whole[1]]))
+    for i, j in np.argwhere(~(whole[0][:, None] & whole[1][None])):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(y[:, j])
+        if both.sum() > 1:
+            out[i, j] = pairwise(ranks(x[both, i : i + 1]), ranks(y[both, j : j + 1]))[0, 0]
+    return out
+
+
+def xi_pairwise(x: np.ndarray) -> np.ndarray:
+    """Chatterjee's coefficient of every ordered pair: the steps of the column's ranks in the order of the row's values."""
+    n, r = len(x), ranks(x, "least")
+    out = np.full((x.shape[1], x.shape[1]), np.nan)
+    for i in range(x.shape[1] if n > 1 else 0):
+        out[i] = 1 - 3 * np.abs(np.diff(r[np.argsort(x[:, i], kind="stable")], axis=0)).sum(axis=0) / (n * n - 1)
+    return out
+
+
+def framed(table: pa.Table) -> tuple[list[int], list[str], np.ndarray]:
+    """Places, names and the matrix (frames in order by places in order) of a table of series; missing values are NaN."""
+    idx, t = (table.column(c).to_numpy() for c in ("idx", "timepoint"))
+    v = table.column("value").cast(pa.float64()).to_numpy(zero_copy_only=False)
+    frames, at = np.unique(t, return_inverse=True)
+    places, first, k = np.unique(idx, return_index=True, return_inverse=True)
+    x = np.full((len(frames), len(places)), np.nan)
+    x[at, k] = v
+    return places.tolist(), table.column("col").take(pa.array(first)).to_pylist(), x
+
+
+def _cells(key: tuple, table: pa.Table, rows: tuple[list, list], cols: tuple[list, list], i: np.ndarray, j: np.ndarray, value: np.ndarray) -> dict:
+    names = [np.array(side[1], object) for side in (rows, cols)]
+    places = [np.array(side[0], np.int32) for side in (rows, cols)]
+    value = pa.array(value, pa.float64(), mask=np.isnan(value))
+    return key_columns(key, table.schema, len(i)) | {
+        "row": pa.array(names[0][i], pa.string()), "row_idx": pa.array(places[0][i]), "col": pa.array(names[1][j], pa.string()), "col_idx": pa.array(places[1][j]), "value": value,
+    }
+
+
+def _given(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return series.select(*keys, "timepoint", F.col("idx").cast("int").alias("idx"), "col", F.col("value").cast("double").alias("value"))
+
+
+def shrunk(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Ledoit and Wolf (2004): a covariance drawn towards a multiple of the identity; ``x`` are the centred frames."""
+    n, k = x.shape
+    mu = np.trace(s) / k
+    delta = ((s - mu * np.eye(k)) ** 2).sum() / k
+    squares = x * x
+    beta = min(delta, ((squares.T @ squares) / n - s * s).sum() / (k * n))
+    return (1 - beta / delta) * s + beta / delta * mu * np.eye(k) if delta > 0 else s
+
+
+def _whole_matrix(x: np.ndarray, kind: str, shrink: bool) -> np.ndarray:
+    """Measures that need all series at once, over the frames that all have."""
+    x = x[~np.isnan(x).any(axis=1)]
+    if not len(x):
+        return np.full((x.shape[1], x.shape[1]), np.nan)
+    c = x - x.mean(axis=0)
+    s = c.T @ c / len(x)
+    s = shrunk(c, s) if shrink else s
+    if kind == "covariance":
+        return s
+    if kind == "correlation":
+        d = np.sqrt(np.diag(s))
+        return s / np.outer(d, d)
+    out = np.linalg.pinv(s)
+    if kind == "partial correlation":
+        d = np.sqrt(np.diag(out))
+        out = -out / np.outer(d, d)
+        np.fill_diagonal(out, 1.0)
+    return out
+
+
+_PLAIN: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "correlation": lambda x: pairwise(x, x),
+    "covariance": lambda x: pairwise(x, x, False),
+    "spearman": lambda x: rank_pairwise(x, x),
+    "xi correlation": lambda x: xi_pairwise(x[~np.isnan(x).any(axis=1)]),
+}
+MATRIX_KINDS = ("correlation", "covariance", "precision", "partial correlation", "xi correlation", "spearman")
 
 
-def _pairs(series: DataFrame, keys: Sequence[str], which: str) -> DataFrame:
-    a = series.select(*keys, "timepoint", F.col("idx").alias("row_idx"), F.col("col").alias("row"), F.col("value").alias("x"))
-    b = series.select(*keys, "timepoint", F.col("idx").alias("col_idx"), F.col("col").alias("col"), F.col("value").alias("y"))
-    return a.join(b, [*keys, "timepoint"]).where(which)
-
+def matrix(series: DataFrame, kind: str = "correlation", shrink: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Lower triangle of correlation, covariance, precision, partial or rank correlation, or xi (both halves).
 
-_CELL = ("row", "row_idx", "col", "col_idx")
+    ``shrink`` takes the Ledoit-Wolf covariance. One element's series go to one task.
+    """
+    if kind not in MATRIX_KINDS or shrink and kind in ("xi correlation", "spearman"):
+        raise ValueError(f"no such kind: {kind}{' shrunk' if shrink else ''}")
+    given = _given(series, keys)
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        places, names, x = framed(table)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = _PLAIN[kind](x) if kind in _PLAIN and not shrink else _whole_matrix(x, kind, shrink)
+        i, j = np.indices(out.shape).reshape(2, -1) if kind == "xi correlation" else np.tril_indices(len(places))
+        return pa.table(_cells(key, table, (places, names), (places, names), i, j, out[i, j]))
 
-def moments(series: DataFrame, kind: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Lower triangle of the correlation or covariance matrix of each element."""
-    measure = stats.correlation(F.col("x"), F.col("y")) if kind == "correlation" else F.covar_pop("x", "y")
-    return _pairs(series, keys, "row_idx >= col_idx").groupBy(*keys, *_CELL).agg(measure.alias("value"))
+    return given.groupBy(*keys).applyInArrow(run, f"{key_schema(given, keys)}, {_CELLS}")
 
 
 def spearman(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Lower triangle of rank correlations."""
-    return moments(series.withColumn("value", stats.mean_rank([*keys, "idx"], "value")), "correlation", keys)
-
-
-def xi(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Chatterjee's coefficient of every ordered pair: the steps of col in the order of row."""
-    ranked = series.withColumn("r", F.rank().over(Window.partitionBy(*keys, "idx").orderBy("value")).cast("double"))
-    a = ranked.select(*keys, "timepoint", F.col("idx").alias("row_idx"), F.col("col").alias("row"), F.col("value").alias("x"))
-    b = ranked.select(*keys, "timepoint", F.col("idx").alias("col_idx"), F.col("col").alias("col"), "r")
-    order = Window.partitionBy(*keys, "row_idx", "col_idx").orderBy("x", "timepoint")
-    steps = a.join(b, [*keys, "timepoint"]).withColumn("step", F.abs(F.col("r") - F.lag("r").over(order)))
-    n = F.count(F.lit(1)).cast("double")
-    return steps.groupBy(*keys, *_CELL).agg((1 - F.try_divide(3 * F.sum("step"), n * n - 1)).alias("value"))
+    return matrix(series, "spearman", keys=keys)
 
 
 def cross(one: DataFrame, two: DataFrame, method: str = "pearson", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Correlation of every series of ``two`` (rows) with every series of ``one`` (columns); NaN is left out."""
+    """Correlation of every series of ``two`` (rows) with every series of ``one`` (columns), over the frames that both have."""
     if method not in ("pearson", "spearman"):
         raise ValueError(f"no such method: {method}")
-    one, two = (s.withColumn("value", stats.without_nan(F.col("value"))) for s in (one, two))
-    if method == "spearman":
-        one, two = (s.where("value IS NOT NULL").withColumn("value", stats.mean_rank([*keys, "idx"], "value")) for s in (one, two))
-    a = two.select(*keys, "timepoint", F.col("col").alias("row"), F.col("idx").alias("row_idx"), F.col("value").alias("x"))
-    b = one.select(*keys, "timepoint", "col", F.col("idx").alias("col_idx"), F.col("value").alias("y"))
-    return a.join(b, [*keys, "timepoint"]).groupBy(*keys, *_CELL).agg(stats.correlation(F.col("x"), F.col("y")).alias("value"))
-
+    given = _given(one, keys).withColumn("side", F.lit(0)).unionByName(_given(two, keys).withColumn("side", F.lit(1)))
 
-def _matrix_kernel(kind: str, shrink: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        idx, t, v = (table.column(c).to_numpy() for c in ("idx", "timepoint", "value"))
-        frames, at = np.unique(t, return_inverse=True)
-        names = dict(zip(idx.tolist(), table.column("col").to_pylist(), strict=True))
-        order = sorted(names)
-        x = np.full((len(frames), len(order)), np.nan)
-        x[at, np.searchsorted(order, idx)] = v
-        x = x[~np.isnan(x).any(axis=1)]
-        n, k = x.shape
-        c = x - x.mean(axis=0) if n else x
-        s = c.T @ c / max(n, 1)
-        if shrink and n:  # Ledoit and Wolf (2004): towards a multiple of the identity
-            mu = np.trace(s) / k
-            delta = ((s - mu * np.eye(k)) ** 2).sum() / k
-            beta = min(delta, sum(((np.outer(r, r) - s) ** 2).sum() for r in c) / (k * n * n))
-            s = (1 - beta / delta) * s + beta / delta * mu * np.eye(k) if delta > 0 else s
-        if kind == "covariance":
-            out = s
-        elif kind == "correlation":
-            d = np.sqrt(np.diag(s))
-            out = s / np.outer(d, d)
-        else:
-            out = np.linalg.pinv(s)
-            if kind == "partial correlation":
-                d = np.sqrt(np.diag(out))
-                out = -out / np.outer(d, d)
-                np.fill_diagonal(out, 1.0)
-        i, j = np.tril_indices(k)
-        columns = {f.name: pa.array([key[m].as_py()] * len(i), f.type) for m, f in enumerate(table.schema) if m < len(key)}
-        columns |= {"row": pa.array([names[order[a]] for a in i], pa.string()), "row_idx": pa.array([order[a] for a in i], pa.int32())}
-        columns |= {"col": pa.array([names[order[b]] for b in j], pa.string()), "col_idx": pa.array([order[b] for b in j], pa.int32()), "value": pa.array(out[i, j], pa.float64())}
-        return pa.table(columns)
-
-    return run
+        side = table.column("side").to_numpy()
+        parts = [table.filter(pa.array(side == k)) for k in (0, 1)]
+        if not all(p.num_rows for p in parts):
+            return pa.table(_cells(key, table, ([], []), ([], []), np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
+        frames = [np.unique(p.column("timepoint").to_numpy()) for p in parts]
+        both = np.intersect1d(*frames)
+        (ca, na, a), (cb, nb, b) = (framed(p) for p in parts)
+        a, b = a[np.isin(frames[0], both)], b[np.isin(frames[1], both)]
+        out = pairwise(b, a) if method == "pearson" else rank_pairwise(b, a)
+        i, j = np.indices(out.shape).reshape(2, -1)
+        return pa.table(_cells(key, table, (cb, nb), (ca, na), i, j, out[i, j]))
 
-
-def matrix(series: DataFrame, kind: str = "correlation", shrink: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Lower triangle of correlation, covariance, precision, partial correlation or xi (full).
-
-    Precision and partial correlation, and any kind with Ledoit-Wolf shrinkage, need the whole matrix
-    of an element: one element's series go to one task. The others are plain aggregates.
-    """
-    if kind == "xi correlation":
-        return xi(series, keys)
-    if kind in ("correlation", "covariance") and not shrink:
-        return moments(series, kind, keys)
-    if kind not in ("correlation", "covariance", "precision", "partial correlation"):
-        raise ValueError(f"no such kind: {kind}")
-    given = series.select(*keys, "timepoint", F.col("idx").cast("int").alias("idx"), "col", "value")
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema[: len(keys)])
-    return given.groupBy(*keys).applyInArrow(_matrix_kernel(kind, shrink), f"{types}, row string, row_idx int, col string, col_idx int, value double")
+    return given.groupBy(*keys).applyInArrow(run, f"{key_schema(given, keys)}, {_CELLS}")
 
 
 def tangent(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -143,11 +211,29 @@ def standardised(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return series.withColumn("value", F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w)))
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Products of the standardised columns of every pair u > v, row-major; a constant column's are NaN."""
+    c = x - np.nanmean(np.where(np.isnan(x).all(axis=0), 0, x), axis=0)
+    d = np.sqrt(np.nanmean(np.where(np.isnan(x).all(axis=0), 0, c * c), axis=0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.where(d > 1e-14 * np.maximum(1e-300, np.nanmax(np.abs(np.nan_to_num(x)), axis=0, initial=0)), c / d, np.nan)
+    u, v = np.tril_indices(x.shape[1], -1)
+    return z[:, u] * z[:, v]
+
+
+def _edge_names(names: Sequence[str]) -> list[str]:
+    u, v = np.tril_indices(len(names), -1)
+    return [f"{names[i]}~{names[j]}" for i, j in zip(u, v, strict=True)]
+
+
 def edge_series(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Products of the standardised series of every pair u > v in each frame; col is u~v, idx row-major."""
-    p = _pairs(standardised(series, keys), keys, "row_idx > col_idx")
-    at = F.col("row_idx") * (F.col("row_idx") - 1) / 2 + F.col("col_idx")
-    return p.select(*keys, "timepoint", at.cast("int").alias("idx"), F.concat_ws("~", "row", "col").alias("col"), (F.col("x") * F.col("y")).alias("value"))
+    z = standardised(series, keys)
+    packed = z.groupBy(*keys, "timepoint").agg(F.array_sort(F.collect_list(F.struct("idx", "col", "value"))).alias("z"))
+    outer = packed.select(*keys, "timepoint", "z", F.explode("z").alias("a"))
+    pairs = outer.select(*keys, "timepoint", "a", F.explode(F.filter("z", lambda b: b["idx"] < F.col("a.idx"))).alias("b"))
+    at = F.col("a.idx") * (F.col("a.idx") - 1) / 2 + F.col("b.idx")
+    return pairs.select(*keys, "timepoint", at.cast("int").alias("idx"), F.concat_ws("~", "a.col", "b.col").alias("col"), (F.col("a.value") * F.col("b.value")).alias("value"))
 
 
 def edge_rss(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -160,5 +246,23 @@ def edge_rss(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def edge_connectivity(series: DataFrame, kind: str = "correlation", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Connectivity of the edge series; the number of cells grows with the fourth power of the series."""
-    return matrix(edge_series(series, keys), kind, keys=keys)
+    """Connectivity of the edge series; the number of cells grows with the fourth power of the series.
+
+    Correlation and covariance leave the task in blocks of the matrix's rows, so it is never held whole;
+    other kinds need it whole.
+    """
+    if kind not in ("correlation", "covariance"):
+        return matrix(edge_series(series, keys), kind, keys=keys)
+    given = _given(series, keys)
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        _, names, x = framed(table)
+        edges, labels = _edges(x), _edge_names(names)
+        sides = (list(range(len(labels))), labels)
+        for lo in range(0, len(labels), BLOCK):
+            part = pairwise(edges[:, lo : lo + BLOCK], edges[:, : lo + BLOCK], kind == "correlation")
+            i, j = np.nonzero(np.arange(part.shape[1])[None] <= np.arange(lo, lo + part.shape[0])[:, None])
+            yield pa.RecordBatch.from_pydict(_cells(key, table, sides, sides, i + lo, j, part[i, j]))
+
+    return given.groupBy(*keys).applyInArrow(run, f"{key_schema(given, keys)}, {_CELLS}")

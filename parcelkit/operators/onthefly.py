@@ -34,10 +34,10 @@ def nan_policy(matrix: DataFrame, policy: str, keys: Sequence[str] = KEYS) -> Da
     if policy in ("drop_rows", "drop_columns"):
         on = [*keys, "row" if policy == "drop_rows" else "col"]
         return matrix.join(bad.select(*on).distinct(), on, "left_anti")
-    nodes = bad.select(*keys, F.col("row").alias("node")).unionByName(bad.select(*keys, F.col("col").alias("node"))).distinct()
-    for side in ("row", "col"):
-        matrix = matrix.join(nodes.withColumnRenamed("node", side), [*keys, side], "left_anti")
-    return matrix
+    # An element's bad nodes, of which there are no more than regions, go along with its cells.
+    missing, whole = F.col("value").isNull() | F.isnan("value"), Window.partitionBy(*keys)
+    nodes = F.array_union(*[F.collect_set(F.when(missing, F.col(c))).over(whole) for c in ("row", "col")])
+    return matrix.withColumn("_bad", nodes).where(~F.array_contains("_bad", F.col("row")) & ~F.array_contains("_bad", F.col("col"))).drop("_bad")
 
 
 def degrees_und(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelkit.model import key_columns, key_schema
+
+from .volumes import blurred, by_frame
+
 KEYS = ("element",)
 
 
@@ -81,8 +84,10 @@ def band_pass(signal: DataFrame, low_pass: float | None, high_pass: float | None
     return _per_group(signal, [*keys, by], kernel)
 
 
-def temporal_filter(signal: DataFrame, detrended: bool = True, standardised: bool = True, low_pass: float | None = None, high_pass: float | None = None, t_r: float = 1.0, by: str = "voxel", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Detrends, filters and standardises, in this order."""
+def temporal_filter(signal: DataFrame, detrended: bool = True, standardised: bool = True, low_pass: float | None = None, high_pass: float | None = None, t_r: float = 1.0, by: str = "voxel", keys: Sequence[str] = KEYS, mask: DataFrame | None = None) -> DataFrame:
+    """Detrends, filters and standardises, in this order; the mask limits voxels."""
+    if mask is not None:
+        signal = signal.join(mask.select("voxel").distinct(), "voxel", "left_semi")
     if detrended:
         signal = detrend(signal, by, keys)
     if low_pass is not None or high_pass is not None:
@@ -152,8 +157,12 @@ def pick_confounds(confounds: DataFrame, plan: dict[str, list[str]], spike: floa
 
 
 def scrub(confounds: DataFrame, fd_threshold: float = 0.5, dvars_threshold: float = 1.5, segment: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, timepoint) of the frames to keep: calm ones, in runs of at least ``segment`` frames."""
-    noisy = F.coalesce(F.col("framewise_displacement") > fd_threshold, F.lit(False)) | F.coalesce(F.col("std_dvars") > dvars_threshold, F.lit(False))
+    """(keys, timepoint) of the frames to keep: calm ones, in runs of at least ``segment`` frames.
+
+    A missing measure (null or NaN, as in a first frame) is calm.
+    """
+    above = lambda c, most: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")) > most, F.lit(False))
+    noisy = above("framewise_displacement", fd_threshold) | above("std_dvars", dvars_threshold)
     calm = confounds.where(~noisy).select(*keys, "timepoint")
     if segment <= 0:
         return calm
@@ -171,38 +180,98 @@ def regress_one(signal: DataFrame, confound: DataFrame, by: str = "voxel", keys:
     return joined.select(*keys, by, "timepoint", rest.alias("value"))
 
 
-def remove_confounds(signal: DataFrame, confounds: DataFrame, by: str = "voxel", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Residuals of each series on all confounds (keys, timepoint, columns) and a constant.
+def _projections(confounds: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, timepoint, q): an orthonormal basis of each element's confounds and a constant, frame by frame.
 
-    One series goes to one task, with its confounds beside its values, so an element's series spread.
-    Frames without a whole set of confounds are left out.
+    ``q`` has len(columns) + 1 numbers; those beyond the rank are 0.
     """
-    columns = [c for c in confounds.columns if c not in (*keys, "timepoint")]
-    x = F.array(*[F.col(c).cast("double") for c in columns])
-    whole = confounds.select(*keys, "timepoint", x.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    joined = signal.select(*keys, by, "timepoint", "value").join(whole, [*keys, "timepoint"])
-    schema = joined.drop("x").select(*keys, by, "timepoint", "value").schema
+    given = confounds.select(*keys, "timepoint", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    given = given.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
 
-    def run(table: pa.Table) -> pa.Table:
-        design = np.array(table.column("x").to_pylist(), float).reshape(table.num_rows, -1)
-        design = np.c_[design - design.mean(axis=0), np.ones(len(design))]
-        y = table.column("value").to_numpy()
-        fit, *_ = np.linalg.lstsq(design, y, rcond=None)
-        return table.select([f.name for f in schema]).set_column(len(schema) - 1, "value", pa.array(y - design @ fit))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.array(table.column("x").to_pylist(), float).reshape(table.num_rows, -1)
+        x = x - x.mean(axis=0)
+        scale = np.linalg.norm(x, axis=0)
+        u, size, _ = np.linalg.svd(x / np.where(scale > 0, scale, 1), full_matrices=False)
+        q = np.zeros((len(x), len(columns) + 1))
+        rank = int((size > 1e-10 * max(1.0, size.max(initial=0))).sum())
+        q[:, :rank], q[:, -1] = u[:, :rank], 1 / np.sqrt(len(x))
+        return pa.table(key_columns(key, table.schema, len(x)) | {"timepoint": table.column("timepoint"), "q": pa.array(q.tolist(), pa.list_(pa.float64()))})
 
-    return joined.groupBy(*keys, by).applyInArrow(run, schema)
+    return given.groupBy(*keys).applyInArrow(run, f"{key_schema(given, [*keys, 'timepoint'])}, q array<double>")
 
 
-def smooth(signal: DataFrame, grid: DataFrame, fwhm: float, voxel_size: float = 1.0, truncate: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
+def remove_confounds(signal: DataFrame, confounds: DataFrame, by: str = "voxel", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Residuals of each series on all confounds (keys, timepoint, columns) and a constant.
+
+    An element's confounds are made orthonormal once; then a series' coefficients are plain sums of
+    products, and only they travel. Frames without a whole set of confounds are left out, and confounds
+    of frames that the signal doesn't have. A series must have all frames of its element.
+    """
+    columns = [c for c in confounds.columns if c not in (*keys, "timepoint")]
+    frames = signal.select(*keys, "timepoint").distinct()
+    basis = _projections(confounds.join(frames, [*keys, "timepoint"], "left_semi"), columns, keys)
+    joined = signal.select(*keys, by, "timepoint", "value").join(basis, [*keys, "timepoint"])
+    parts = range(len(columns) + 1)
+    fitted = joined.groupBy(*keys, by).agg(*[F.sum(F.col("value") * F.col("q")[k]).alias(f"_c{k}") for k in parts])
+    rest = F.col("value") - sum((F.col("q")[k] * F.col(f"_c{k}") for k in parts), F.lit(0.0))
+    return joined.join(fitted, [*keys, by]).select(*keys, by, "timepoint", rest.alias("value"))
+
+
+def check_confounds(signal: DataFrame, confounds: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> None:
+    """Raises unless every column is there and signal and confounds have the same number of frames in each element."""
+    if missing := [c for c in columns if c not in confounds.columns]:
+        raise ValueError(f"confounds lack {missing}")
+    n = lambda df, name: df.select(*keys, "timepoint").distinct().groupBy(*keys).agg(F.count("*").alias(name))
+    counted = n(signal, "frames").join(n(confounds, "rows"), list(keys), "left")
+    if wrong := counted.where("rows IS NULL OR frames <> rows").limit(1).collect():
+        raise ValueError(f"{wrong[0]['frames']} frames but {wrong[0]['rows']} rows of confounds: {wrong[0].asDict()}")
+
+
+def confound_remover(
+    signal: DataFrame, confounds: DataFrame, strategy: dict[str, str] | None = None, spike: float | None = None, scrub_segment: int | None = None, fd_threshold: float = 0.5,
+    std_dvars_threshold: float = 1.5, detrended: bool = True, standardised: bool = True, low_pass: float | None = None, high_pass: float | None = None, t_r: float = 1.0,
+    mask: DataFrame | None = None, by: str = "voxel", keys: Sequence[str] = KEYS, validate: bool = True,
+) -> DataFrame:
+    """Removes confounds from every series.
+
+    In this order: checks, choice and derivation of the confounds by ``strategy`` (all parts in full by
+    default), a spike column, scrubbing of signal and confounds alike (``scrub_segment`` frames in a row
+    at least), detrending of both, filtering of both, residuals, standardisation. The mask limits voxels.
+    """
+    strategy = {part: "full" for part in CONFOUNDS} if strategy is None else strategy
+    plan = confound_plan(strategy, confounds.columns)
+    needed = [c for part in strategy for c in CONFOUNDS[part]] + (["framewise_displacement"] if spike is not None or scrub_segment is not None else []) + (["std_dvars"] if scrub_segment is not None else [])
+    if validate:
+        check_confounds(signal, confounds, needed, keys)
+    if mask is not None:
+        signal = signal.join(mask.select("voxel").distinct(), "voxel", "left_semi")
+    picked = pick_confounds(confounds, plan, spike, keys=keys)
+    signal = signal.select(*keys, by, "timepoint", "value")
+    if scrub_segment is not None:
+        kept = scrub(confounds, fd_threshold, std_dvars_threshold, scrub_segment, keys)
+        signal, picked = (df.join(kept, [*keys, "timepoint"], "left_semi") for df in (signal, picked))
+    if detrended or low_pass is not None or high_pass is not None:
+        columns = [c for c in picked.columns if c not in (*keys, "timepoint")]
+        long = picked.unpivot([*keys, "timepoint"], columns, "col", "value").where("value IS NOT NULL AND NOT isnan(value)")
+        long = temporal_filter(long, detrended, False, low_pass, high_pass, t_r, "col", keys)
+        picked = long.groupBy(*keys, "timepoint").pivot("col", columns).agg(F.first("value"))
+        signal = temporal_filter(signal, detrended, False, low_pass, high_pass, t_r, by, keys)
+    rest = remove_confounds(signal, picked, by, keys)
+    return standardise(rest, by, keys) if standardised else rest
+
+
+def smooth(signal: DataFrame, grid: DataFrame, fwhm: float, voxel_size: float = 1.0, truncate: float = 4.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Gaussian smoothing; weights outside the grid, or beyond ``truncate`` deviations, are left out and the rest sum to 1.
 
-    The kernel is laid out over the grid first, a table of voxel pairs, and met by the signal once.
+    Each frame is smoothed as a volume, one axis after the other.
     """
     sigma = fwhm / math.sqrt(8 * math.log(2)) / voxel_size
     reach = int(truncate * sigma + 0.5)
-    offsets = [(o, math.exp(-sum(c * c for c in o) / (2 * sigma * sigma))) for o in product(range(-reach, reach + 1), repeat=3)]
-    steps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("abc", o, strict=True)], F.lit(w).alias("w")) for o, w in offsets])).alias("o")
-    moved = grid.select(F.col("voxel").alias("to"), "x", "y", "z", steps)
-    moved = moved.select("to", *[(F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip("xyz", "abc", strict=True)], F.col("o.w").alias("w"))
-    pairs = moved.join(grid, ["x", "y", "z"]).select("to", "voxel", "w")
-    return signal.join(pairs, "voxel").groupBy(*keys, "timepoint", F.col("to").alias("voxel")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    weights = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+
+    def kernel(cells: tuple, values: list, shape: tuple) -> list:
+        there = ~np.isnan(values[0])
+        return [blurred(cells, np.where(there, values[0], 0), shape, weights) / blurred(cells, there.astype(float), shape, weights)]
+
+    return by_frame(signal, grid, ["value"], kernel, ["value"], keys)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelkit.functions import stats
+from .volumes import by_frame, shifted_sums
 
 KEYS = ("element",)
 
@@ -22,30 +22,25 @@ def neighbours(n: int) -> list[tuple[int, int, int]]:
     return [o for o in product(range(-reach, reach + 1), repeat=3) if sum(map(abs, o)) <= most]
 
 
-def clusters(grid: DataFrame, n: int, mask: DataFrame | None = None) -> DataFrame:
-    """(center, voxel) of the clusters that lie inside the grid; the mask limits centers only."""
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("abc", o, strict=True)]) for o in neighbours(n)])).alias("o")
-    centers = grid if mask is None else grid.join(mask.select("voxel").distinct(), "voxel", "left_semi")
-    moved = centers.select(F.col("voxel").alias("center"), "x", "y", "z", offsets)
-    moved = moved.select("center", *[(F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip("xyz", "abc", strict=True)])
-    found = moved.join(grid, ["x", "y", "z"]).select("center", "voxel")
-    whole = found.groupBy("center").agg(F.count("*").alias("m")).where(F.col("m") == n).select("center")
-    return found.join(whole, "center", "left_semi")
-
-
 def reho(signal: DataFrame, grid: DataFrame, n: int = 27, mask: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Concordance of each voxel's cluster over time; voxels whose cluster leaves the grid, or that the
-    mask leaves out, are 1, as is a cluster without any variation."""
-    of_time = signal.select(*keys, "timepoint", "voxel", stats.mean_rank([*keys, "voxel"], "value").alias("r"))
-    sizes = signal.groupBy(*keys, "voxel", "value").agg(F.count("*").cast("double").alias("t"))
-    ties = sizes.groupBy(*keys, "voxel").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
-    near = clusters(grid, n, mask)
-    sums = of_time.join(near, "voxel").groupBy(*keys, "center", "timepoint").agg(F.sum("r").alias("s"))
-    square = sums.groupBy(*keys, "center").agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.count("*").cast("double").alias("t"))
-    tied = ties.join(near, "voxel").groupBy(*keys, "center").agg(F.sum("tie").alias("tie"))
+    mask leaves out, are 1, as is a cluster without any variation.
+
+    Ranks and ties come from one pass over each voxel's series; each frame's ranks are then summed
+    around its voxels.
+    """
+    near = neighbours(n)
+    series = Window.partitionBy(*keys, "voxel")
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "voxel", "value")).cast("double")
+    # A tie of t frames has t rows, and t * t - 1 on each of them makes t ^ 3 - t.
+    ranked = signal.select(*keys, "timepoint", "voxel", (F.rank().over(series.orderBy("value")) + (same - 1) / 2).alias("r"), (same * same - 1).alias("tie"))
+    sums = by_frame(ranked, grid, ["r", "tie"], lambda cells, values, shape: [shifted_sums(cells, v, shape, near) for v in values], ["s", "tie"], keys)
+    whole = sums.groupBy(*keys, "voxel").agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.count("s").alias("whole"), F.count("*").cast("double").alias("t"), F.sum("tie").alias("tie"))
     m, t = F.lit(float(n)), F.col("t")
     den = m * m * t * (t * t - 1) - m * F.col("tie")
-    w = F.when(den == 0, 1.0).otherwise(F.try_divide(12 * F.col("s2") - 3 * m * m * t * (t + 1) * (t + 1), den))
-    found = square.join(tied, [*keys, "center"]).select(*keys, F.col("center").alias("voxel"), w.alias("w"))
-    every = signal.select(*keys, "voxel").distinct()
-    return every.join(found, [*keys, "voxel"], "left").select(*keys, "voxel", F.lit(0).alias("timepoint"), F.coalesce("w", F.lit(1.0)).alias("value"))
+    inside = F.col("whole") == F.col("t")
+    if mask is not None:
+        whole = whole.join(mask.select("voxel").distinct().withColumn("in_mask", F.lit(True)), "voxel", "left")
+        inside = inside & F.col("in_mask")
+    w = F.when(inside & (den != 0), F.try_divide(12 * F.col("s2") - 3 * m * m * t * (t + 1) * (t + 1), den)).otherwise(1.0)
+    return whole.select(*keys, "voxel", F.lit(0).alias("timepoint"), w.alias("value"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,45 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelkit.model import key_columns, key_schema
+
 KEYS = ("element",)
-#: Frames from which a series goes to a fast transform in one task instead of a joined sum.
-FAST = 512
 
 
-def alff(signal: DataFrame, highpass: float = 0.01, lowpass: float = 0.1, tr: float = 1.0, by: str = "voxel", keys: Sequence[str] = KEYS, fast: bool | None = None) -> DataFrame:
+def alff(signal: DataFrame, highpass: float = 0.01, lowpass: float = 0.1, tr: float = 1.0, by: str = "voxel", keys: Sequence[str] = KEYS) -> DataFrame:
     """alff and falff of every series: summed amplitudes of the frequencies strictly inside the band,
     over the root of the length, and over the summed amplitudes of all positive frequencies.
 
-    Frequencies count with both signs, as a full transform has them. ``fast`` picks the transform; by
-    default it depends on the longest series.
+    Frequencies count with both signs, as a full transform has them. One series goes to one task.
     """
     if not 0 <= highpass < lowpass or tr <= 0:
         raise ValueError("the band needs 0 <= highpass < lowpass, and tr is above 0")
-    if fast is None:
-        fast = signal.agg(F.max("timepoint")).first()[0] or 0
-        fast = fast >= FAST
-    if fast:
-        return _fast(signal, highpass, lowpass, tr, by, keys)
-    w = signal.select(*keys, by, "timepoint", "value")
-    sized = w.join(w.groupBy(*keys).agg((F.max("timepoint") + 1).cast("int").alias("n")), list(keys))
-    waves = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    angle = 2 * math.pi * ((F.col("k") * F.col("timepoint")) % F.col("n")) / F.col("n")
-    parts = waves.groupBy(*keys, by, "n", "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
-    f = F.least(F.col("k"), F.col("n") - F.col("k")) / (F.col("n") * F.lit(float(tr)))
-    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    num, den = F.sum(F.when((f > highpass) & (f < lowpass), size).otherwise(0.0)), F.sum(F.when(f > 0, size).otherwise(0.0))
-    return parts.groupBy(*keys, by).agg((num / F.sqrt(F.first("n"))).alias("alff"), F.when(den > 1e-6, F.try_divide(num, den)).otherwise(0.0).alias("falff"))
-
-
-def _fast(signal: DataFrame, highpass: float, lowpass: float, tr: float, by: str, keys: Sequence[str]) -> DataFrame:
-    given = signal.select(*keys, by, "timepoint", "value")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema[: len(keys) + 1]) + ", alff double, falff double"
+    given = signal.select(*keys, by, "timepoint", F.col("value").cast("double").alias("value"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         x = table.column("value").to_numpy()[np.argsort(table.column("timepoint").to_numpy())]
         f, size = np.abs(np.fft.fftfreq(len(x), tr)), np.abs(np.fft.fft(x))
         den, num = size[f > 0].sum(), size[(f > highpass) & (f < lowpass)].sum()
-        columns = {table.schema[m].name: pa.array([k.as_py()], table.schema[m].type) for m, k in enumerate(key)}
-        return pa.table(columns | {"alff": [float(num / np.sqrt(len(x)))], "falff": [float(num / den) if den > 1e-6 else 0.0]})
+        return pa.table(key_columns(key, table.schema, 1) | {"alff": [float(num / np.sqrt(len(x)))], "falff": [float(num / den) if den > 1e-6 else 0.0]})
 
-    return given.groupBy(*keys, by).applyInArrow(run, schema)
+    return given.groupBy(*keys, by).applyInArrow(run, f"{key_schema(given, [*keys, by])}, alff double, falff double")

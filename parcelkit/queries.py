@@ -279,7 +279,7 @@ alff AS (SELECT element, voxel, sum(CASE WHEN f > 0.01 AND f < 0.1 THEN a ELSE 0
 def _alff(name: str, value: str) -> None:
     @query(name, f"{_S16}, {_DFT} SELECT element, label AS col, {R(f'avg({value})')} FROM alff JOIN parc16 USING (voxel) GROUP BY ALL")
     def _(spark: SparkSession, d: str) -> DataFrame:
-        voxels = spectral.alff(fx.signal(spark, d), fast=False).select("element", "voxel", F.lit(0).alias("timepoint"), F.col(name).alias("value"))
+        voxels = spectral.alff(fx.signal(spark, d)).select("element", "voxel", F.lit(0).alias("timepoint"), F.col(name).alias("value"))
         return rounded(aggregate.parcel_aggregation(voxels, fx.parcels(spark, 4)).drop("timepoint"))
 
 
@@ -289,7 +289,7 @@ _alff("falff", "CASE WHEN den > 1e-6 THEN num / den ELSE 0 END")
 
 @query("alff_fft", f"{w('signal')}, {_DFT} SELECT element, voxel, {R('num / sqrt(n)', 'alff')}, {R('CASE WHEN den > 1e-6 THEN num / den ELSE 0 END', 'falff')} FROM alff")
 def alff_fft(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spectral.alff(fx.signal(spark, d), fast=True), "alff", "falff")
+    return rounded(spectral.alff(fx.signal(spark, d)), "alff", "falff")
 
 
 def _reho_sql(n: int) -> str:
@@ -390,7 +390,7 @@ def confound_regress_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("smooth_grid", w("signal", "grid") + f""", k AS (SELECT p.voxel AS v, q.voxel, exp(-((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) / (2 * (1.5 / sqrt(8 * ln(2))) ** 2)) AS g
-  FROM grid p JOIN grid q ON abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 AND abs(p.z - q.z) <= 1)
+  FROM grid p CROSS JOIN grid q)
 SELECT element, timepoint, v AS voxel, {R('sum(g * value) / sum(g)')} FROM signal JOIN k USING (voxel) GROUP BY ALL""")
 def smooth_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prep.smooth(fx.signal(spark, d), fx.grid(spark), 1.5))
