@@ -5,9 +5,15 @@ Each has the same definition in Spark and in SQL (see the texts at the end), so
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelkit.plans import lineage
+
 N_VOXELS = 64
 
 
@@ -15,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def store_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for a store that a query needs for a while, beside the checkpoints; it is deleted afterwards."""
+    folder = f"{lineage.checkpoint_folder(spark)}/store-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        lineage.delete(spark, folder)
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by label as a signal of 64 voxels: element, timepoint, voxel, value."""
     frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1

@@ -7,40 +7,133 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KINDS = ("parcellation", "coordinates", "maps", "mask")
-_COLUMNS = {"parcellation": ("voxel", "parcel_id", "label"), "coordinates": ("seed", "x", "y", "z"), "maps": ("voxel", "region", "weight"), "mask": ("voxel",)}
+from parcelkit.sources import readers
+
+KINDS = ("parcellation", "coordinates", "maps", "mask", "grid")
+_COLUMNS = {"parcellation": ("voxel", "parcel_id", "label"), "coordinates": ("seed", "x", "y", "z"), "maps": ("voxel", "region", "weight"), "mask": ("voxel",), "grid": ("voxel", "x", "y", "z")}
 _data: dict[str, dict[str, Callable[[SparkSession], DataFrame]]] = {k: {} for k in KINDS}
 _built_in: set[tuple[str, str]] = set()
 
 
-def register_data(kind: str, name: str, provider: Callable[[SparkSession], DataFrame], overwrite: bool = False, built_in: bool = False) -> None:
-    """Names a dimension table; what is built in can't be replaced."""
+def _known(kind: str) -> None:
     if kind not in KINDS:
-        raise ValueError(f"no such kind: {kind}")
+        raise ValueError(f"no such kind: {kind}; there are {list(KINDS)}")
+
+
+def register_data(kind: str, name: str, provider: Callable[[SparkSession], DataFrame] | str, overwrite: bool = False, built_in: bool = False, labels: str | Sequence[str] | None = None) -> None:
+    """Names a dimension table, or a file that holds one; what is built in can't be replaced.
+
+    ``labels`` name the regions of an image: a list, or a file of one label a line.
+    """
+    _known(kind)
     if (kind, name) in _built_in:
         raise ValueError(f"{name} is built in")
     if name in _data[kind] and not overwrite:
         raise ValueError(f"{name} is registered already")
-    _data[kind][name] = provider
+    _data[kind][name] = (lambda spark: read_data(spark, kind, provider, labels)) if isinstance(provider, str) else provider
     if built_in:
         _built_in.add((kind, name))
 
 
 def deregister_data(kind: str, name: str) -> None:
+    _known(kind)
     if (kind, name) in _built_in:
         raise ValueError(f"{name} is built in")
+    if name not in _data[kind]:
+        raise ValueError(f"no {kind} called {name}")
     del _data[kind][name]
 
 
 def list_data(kind: str) -> list[str]:
+    _known(kind)
     return sorted(_data[kind])
 
 
 def load_data(kind: str, name: str, spark: SparkSession) -> DataFrame:
-    """The table, with the columns of its kind."""
-    if name not in _data[kind]:
-        raise ValueError(f"no {kind} called {name}; there are {list_data(kind)}")
-    return _data[kind][name](spark).select(*_COLUMNS[kind])
+    """The table of that name, or in that file, with the columns of its kind."""
+    _known(kind)
+    if name in _data[kind]:
+        return _data[kind][name](spark).select(*_COLUMNS[kind])
+    if readers.extension(name):
+        return read_data(spark, kind, name)
+    raise ValueError(f"no {kind} called {name}; there are {list_data(kind)}")
+
+
+def read_data(spark: SparkSession, kind: str, path: str, labels: str | Sequence[str] | None = None) -> DataFrame:
+    """A dimension table from a file: a table with the kind's columns, or an image.
+
+    An image's values are the ids of a parcellation (0 is none), a mask where they are above 0, and
+    the weights of maps, one map a frame; as a grid its voxels have their places. Regions without
+    ``labels`` are called by their ids. The number of labels must be that of the regions.
+    """
+    if not readers.is_image(path):
+        return readers.read(spark, path).select(*_COLUMNS[kind])
+    image = readers.nifti(spark, path)
+    if kind == "mask":
+        return image.where("value > 0").select("voxel").distinct()
+    if kind == "grid":
+        return image.where("timepoint = 0").select("voxel", "x", "y", "z")
+    if kind == "coordinates":
+        raise ValueError("coordinates come from a table")
+    if isinstance(labels, str):
+        labels = [r["value"].strip() for r in spark.read.text(labels, wholetext=False).collect()]  # one line for each region
+    if kind == "maps":
+        named = image.where("value <> 0").select("voxel", F.col("timepoint").alias("place"), F.col("value").alias("weight"))
+        if labels is None:
+            return named.select("voxel", F.concat(F.lit("map_"), F.col("place").cast("string")).alias("region"), "weight")
+        names = spark.createDataFrame(list(enumerate(labels)), "place int, region string")
+        return named.join(names, "place").select("voxel", "region", "weight")
+    parcels = image.where("value <> 0").select("voxel", F.col("value").cast("int").alias("parcel_id"))
+    if labels is None:
+        return parcels.select("voxel", "parcel_id", F.col("parcel_id").cast("string").alias("label"))
+    check_parcellation(parcels, labels)
+    return label_parcels(parcels, spark.createDataFrame(list(enumerate(labels)), "place int, label string"))
+
+
+def _mean_above(signal: DataFrame, lower: float = 0.2) -> DataFrame:
+    return quantile_mask(signal, lower)
+
+
+#: Masks that are computed from a signal, by name; each takes the signal and its parameters.
+MASK_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {"quantile_mask": _mean_above}
+
+
+def mask_of(spec: object, spark: SparkSession, signal: DataFrame | None = None, inherit: DataFrame | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """A mask (voxel) as specified: a table, a name, {name: parameters}, or a list of these.
+
+    A name is a registered mask, a file, a function of MASK_FUNCTIONS that computes the mask from the
+    signal, or 'inherit', the mask that belongs to the data. Several masks are intersected; a list may
+    hold {'threshold': share} and {'connected': true} for that, which are an error beside one mask.
+    """
+    masks, how = [], {}
+    for item in spec if isinstance(spec, list | tuple) else [spec]:
+        if isinstance(item, DataFrame):
+            masks.append(item.select("voxel").distinct())
+            continue
+        if isinstance(item, dict) and len(item) != 1:
+            raise ValueError(f"one mask to an entry, not {sorted(item)}")
+        name, params = next(iter(item.items())) if isinstance(item, dict) else (item, None)
+        if name in ("threshold", "connected"):
+            how[name] = params
+        elif name == "inherit":
+            if inherit is None or params:
+                raise ValueError("there is no mask to inherit" if inherit is None else "an inherited mask takes no parameters")
+            masks.append(inherit.select("voxel").distinct())
+        elif name in MASK_FUNCTIONS:
+            if signal is None:
+                raise ValueError(f"{name} needs a signal")
+            masks.append(MASK_FUNCTIONS[name](signal, **(params or {})))
+        else:
+            if params:
+                raise ValueError(f"{name} takes no parameters")
+            masks.append(load_data("mask", name, spark))
+    if not masks:
+        raise ValueError("no mask is given")
+    if len(masks) == 1:
+        if how:
+            raise ValueError(f"{sorted(how)} need several masks")
+        return masks[0]
+    return intersect_masks(masks, **how, grid=grid)
 
 
 def check_parcellation(parcels: DataFrame, labels: Sequence[str]) -> None:

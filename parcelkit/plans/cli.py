@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import platform
 import sys
 from importlib.metadata import PackageNotFoundError, version
@@ -44,32 +45,47 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("run", "list-elements", "queue", "reset"):
         c = commands.add_parser(name)
         c.add_argument("config")
-        c.add_argument("--element", action="append")
+        c.add_argument("--element", action="append", help="an element, a list with commas, or a file of such lines")
+        c.add_argument("--verbose", default="warning", choices=["debug", "info", "warning", "error"])
+        if name == "run":
+            c.add_argument("--overwrite", action="store_true", help="replace elements that are stored")
+        if name == "list-elements":
+            c.add_argument("--output", help="a file for the lines")
+        if name == "queue":
+            c.add_argument("--conf", action="append", default=[], help="key=value for the cluster")
     c = commands.add_parser("collect")
     c.add_argument("uri")
     c.add_argument("parts", nargs="+")
-    c.add_argument("--keys", default="element")
+    c.add_argument("--keys")
+    c.add_argument("--files", type=int, help="files of each feature")
     commands.add_parser("wtf")
     commands.add_parser("selftest")
     args = parser.parse_args(argv)
+    logging.basicConfig(format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    logging.getLogger("parcelkit").setLevel(getattr(args, "verbose", "warning").upper())
     if args.command == "wtf":
         print(json.dumps(wtf(), indent=2))
         return 0
     if args.command == "queue":
-        print(pipeline.queue(args.config))
+        print(pipeline.queue(args.config, **dict(x.split("=", 1) for x in args.conf)))
         return 0
     spark = session()
     if args.command == "selftest":
         print(spark.range(10).selectExpr("sum(id) AS s").first()["s"] == 45)
     elif args.command == "collect":
-        pipeline.collect(spark, args.uri, args.parts, args.keys.split(","))
+        pipeline.collect(spark, args.uri, args.parts, args.keys.split(",") if args.keys else None, args.files)
     else:
         config = pipeline.parse_yaml(args.config)
         if args.command == "run":
-            pipeline.run(spark, config, selectors(args.element))
+            pipeline.run(spark, config, selectors(args.element), args.overwrite)
         elif args.command == "list-elements":
-            for row in pipeline.list_elements(spark, config, selectors(args.element)).toLocalIterator():
-                print(row["line"])
+            lines = (row["line"] for row in pipeline.list_elements(spark, config, selectors(args.element)).toLocalIterator())
+            if args.output:
+                with open(args.output, "w") as out:
+                    out.writelines(f"{line}\n" for line in lines)
+            else:
+                for line in lines:
+                    print(line)
         else:
             pipeline.reset(spark, config)
     return 0

@@ -1,4 +1,9 @@
-"""Markers: named computations from a signal to features of declared kinds."""
+"""Markers: named computations from a signal to features of declared kinds.
+
+A marker's regions are given as tables, or by name: of a registered parcellation, list of coordinates,
+set of maps, or of a file that holds one. Names are looked up when the marker runs, so a marker can be
+written in a configuration file.
+"""
 
 from __future__ import annotations
 
@@ -6,99 +11,160 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from parcelkit.operators import aggregate, complexity, connectivity, reho, spectral
+from parcelkit.operators import aggregate, complexity, connectivity, dims, reho, spectral
 
 from .registry import register
 
+Keys = Sequence[str]
+
 
 @dataclass
 class Marker:
-    """``compute(signal)`` gives {feature: DataFrame}; ``kinds`` says what each feature is."""
+    """``compute(signal, keys)`` gives {feature: DataFrame}; ``kinds`` says what each feature is."""
 
     name: str
     kinds: dict[str, str]
-    compute: Callable[[DataFrame], dict[str, DataFrame]]
+    compute: Callable[[DataFrame, Keys], dict[str, DataFrame]]
     on: Sequence[str] = ("BOLD",)
     params: dict = field(default_factory=dict)
+    dependencies: Sequence[str] = ()
 
-    def features(self, signal: DataFrame) -> dict[str, tuple[str, DataFrame]]:
-        out = self.compute(signal)
+    def features(self, signal: DataFrame, keys: Keys = ("element",)) -> dict[str, tuple[str, DataFrame]]:
+        out = self.compute(signal, keys)
         if set(out) != set(self.kinds):
             raise ValueError(f"{self.name} declares {sorted(self.kinds)} but gives {sorted(out)}")
         return {f: (self.kinds[f], df) for f, df in out.items()}
 
 
-def _frames(kind: str, dims: dict, how: dict) -> Callable[[DataFrame], DataFrame]:
-    if kind == "parcels":
-        return lambda s: aggregate.parcel_aggregation(s, dims["parcels"], **how)
-    if kind == "spheres":
-        return lambda s: aggregate.sphere_aggregation(s, dims["grid"], dims["seeds"], **how)
-    if kind == "maps":
-        return lambda s: aggregate.maps_aggregation(s, dims["maps"], **how)
-    raise ValueError(f"no such regions: {kind}")
+def _table(kind: str, given: DataFrame | str | Sequence[str], signal: DataFrame) -> DataFrame:
+    """A dimension table as it is, or by its name; several parcellations are merged."""
+    if isinstance(given, DataFrame):
+        return given
+    names = [given] if isinstance(given, str) else list(given)
+    tables = [dims.load_data(kind, n, signal.sparkSession) for n in names]
+    if len(tables) > 1 and kind != "parcellation":
+        raise ValueError(f"only one {kind} can be given")
+    return tables[0] if len(tables) == 1 else dims.merge_parcellations(list(zip(names, tables, strict=True)))
+
+
+class Regions:
+    """Parcels, spheres or maps that a signal is aggregated over."""
+
+    def __init__(self, kind: str, data: dict, labels: Sequence[str] | None = None, masks: object = None, **how):
+        if kind not in ("parcels", "spheres", "maps"):
+            raise ValueError(f"no such regions: {kind}")
+        self.kind, self.data, self._labels, self.masks, self.how = kind, data, labels, masks, how
+
+    def grid(self, signal: DataFrame) -> DataFrame:
+        return _table("grid", self.data["grid"], signal)
+
+    def frames(self, signal: DataFrame, keys: Keys) -> DataFrame:
+        how = dict(self.how)
+        if self.masks is not None:
+            how["mask"] = dims.mask_of(self.masks, signal.sparkSession, signal=signal)
+        if self.kind == "parcels":
+            return aggregate.parcel_aggregation(signal, _table("parcellation", self.data["parcels"], signal), keys=keys, **how)
+        if self.kind == "spheres":
+            return aggregate.sphere_aggregation(signal, self.grid(signal), _table("coordinates", self.data["seeds"], signal), keys=keys, **how)
+        return aggregate.maps_aggregation(signal, _table("maps", self.data["maps"], signal), keys=keys, **how)
 
+    def labels(self, signal: DataFrame) -> list[str]:
+        """The regions' names in their order: by id, or as the names sort."""
+        if self._labels is not None:
+            return list(self._labels)
+        if self.kind == "parcels":
+            table = _table("parcellation", self.data["parcels"], signal).select("parcel_id", "label").distinct().orderBy("parcel_id", "label")
+            return [r["label"] for r in table.collect()]  # one row for each region
+        column, kind = ("seed", "coordinates") if self.kind == "spheres" else ("region", "maps")
+        return [r[0] for r in _table(kind, self.data["seeds" if self.kind == "spheres" else "maps"], signal).select(column).distinct().orderBy(column).collect()]
 
-def _indexed(frames: DataFrame, labels: Sequence[str]) -> DataFrame:
-    return aggregate.with_index(frames, labels)
+    def series(self, signal: DataFrame, keys: Keys) -> DataFrame:
+        return aggregate.with_index(self.frames(signal, keys), self.labels(signal), keys)
+
+
+def _described(**params) -> dict:
+    """Parameters for the catalog: tables are named by their columns only."""
+    return {k: f"table({', '.join(v.columns)})" if isinstance(v, DataFrame) else _described(**v) if isinstance(v, dict) else v for k, v in params.items() if v is not None}
 
 
 @register("marker")
 def aggregation(name: str, regions: str, dims: dict, on: Sequence[str] = ("BOLD",), **how) -> Marker:
     """Parcel, sphere or map aggregation."""
+    of = Regions(regions, dims, **how)
     kind = "vector" if how.get("time_method") else "timeseries"
-    return Marker(name, {"aggregation": kind}, lambda s: {"aggregation": _frames(regions, dims, how)(s)}, on, how)
+    return Marker(name, {"aggregation": kind}, lambda s, keys: {"aggregation": of.frames(s, keys)}, on, _described(regions=regions, **dims, **how))
 
 
 @register("marker")
-def functional_connectivity(name: str, regions: str, dims: dict, labels: Sequence[str], conn_method: str = "correlation", shrink: bool = False, edges: bool = False, **how) -> Marker:
-    """Connectivity between regions, or between their edge series."""
+def functional_connectivity(name: str, regions: str, dims: dict, labels: Sequence[str] | None = None, conn_method: str = "correlation", shrink: bool = False, edges: bool = False, on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    """Connectivity between regions, or between their edge series; the tangent space is that of all elements."""
+    of = Regions(regions, dims, labels, **how)
 
-    def compute(s: DataFrame) -> dict[str, DataFrame]:
-        series = _indexed(_frames(regions, dims, how)(s), labels)
-        series = connectivity.edge_series(series) if edges else series
-        return {"functional_connectivity": connectivity.matrix(series, conn_method, shrink)}
+    def compute(s: DataFrame, keys: Keys) -> dict[str, DataFrame]:
+        series = of.series(s, keys)
+        if conn_method == "tangent":
+            found = connectivity.tangent(connectivity.edge_series(series, keys) if edges else series, keys)
+        elif edges:
+            found = connectivity.edge_connectivity(series, conn_method, keys)
+        else:
+            found = connectivity.matrix(series, conn_method, shrink, keys)
+        return {"functional_connectivity": found}
 
-    return Marker(name, {"functional_connectivity": "matrix"}, compute, params=how | {"conn_method": conn_method})
+    return Marker(name, {"functional_connectivity": "matrix"}, compute, on, _described(regions=regions, conn_method=conn_method, shrink=shrink, edges=edges, **dims, **how))
 
 
 @register("marker")
-def cross_parcellation(name: str, one: DataFrame, two: DataFrame, labels_one: Sequence[str], labels_two: Sequence[str], corr_method: str = "pearson") -> Marker:
-    if list(labels_one) == list(labels_two):
+def cross_parcellation(name: str, one: DataFrame | str, two: DataFrame | str, labels_one: Sequence[str] | None = None, labels_two: Sequence[str] | None = None, corr_method: str = "pearson", on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    if isinstance(one, str) and one == two or labels_one is not None and labels_two is not None and list(labels_one) == list(labels_two):
         raise ValueError("the parcellations are the same")
+    sides = Regions("parcels", {"parcels": one}, labels_one, **how), Regions("parcels", {"parcels": two}, labels_two, **how)
+
+    def compute(s: DataFrame, keys: Keys) -> dict[str, DataFrame]:
+        return {"functional_connectivity": connectivity.cross(*(side.series(s, keys) for side in sides), corr_method, keys)}
 
-    def compute(s: DataFrame) -> dict[str, DataFrame]:
-        a, b = (_indexed(aggregate.parcel_aggregation(s, p), labels) for p, labels in ((one, labels_one), (two, labels_two)))
-        return {"functional_connectivity": connectivity.cross(a, b, corr_method)}
+    return Marker(name, {"functional_connectivity": "matrix"}, compute, on, _described(one=one, two=two, corr_method=corr_method, **how))
 
-    return Marker(name, {"functional_connectivity": "matrix"}, compute, params={"corr_method": corr_method})
+
+@register("marker")
+def edge_rss(name: str, parcels: DataFrame | str, labels: Sequence[str] | None = None, on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    of = Regions("parcels", {"parcels": parcels}, labels, **how)
+    return Marker(name, {"rss_ets": "timeseries"}, lambda s, keys: {"rss_ets": connectivity.edge_rss(of.series(s, keys), keys)}, on, _described(parcels=parcels, **how))
 
 
 @register("marker")
-def edge_rss(name: str, parcels: DataFrame, labels: Sequence[str], **how) -> Marker:
-    return Marker(name, {"rss_ets": "timeseries"}, lambda s: {"rss_ets": connectivity.edge_rss(_indexed(aggregate.parcel_aggregation(s, parcels, **how), labels))}, params=how)
+def edge_time_series(name: str, regions: str, dims: dict, labels: Sequence[str] | None = None, on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    of = Regions(regions, dims, labels, **how)
+    return Marker(name, {"ets": "timeseries"}, lambda s, keys: {"ets": connectivity.edge_series(of.series(s, keys), keys)}, on, _described(regions=regions, **dims, **how))
 
 
 @register("marker")
-def temporal_snr(name: str, regions: str, dims: dict, **how) -> Marker:
-    return Marker(name, {"tsnr": "vector"}, lambda s: {"tsnr": _frames(regions, dims, how)(aggregate.temporal_snr(s)).drop("timepoint")}, params=how)
+def temporal_snr(name: str, regions: str, dims: dict, on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    of = Regions(regions, dims, **how)
+    return Marker(name, {"tsnr": "vector"}, lambda s, keys: {"tsnr": of.frames(aggregate.temporal_snr(s, keys), keys).drop("timepoint")}, on, _described(regions=regions, **dims, **how))
 
 
 @register("marker")
-def alff(name: str, regions: str, dims: dict, highpass: float = 0.01, lowpass: float = 0.1, tr: float = 1.0, **how) -> Marker:
-    def compute(s: DataFrame) -> dict[str, DataFrame]:
-        voxels = spectral.alff(s, highpass, lowpass, tr)
-        one = lambda c: voxels.selectExpr("element", "voxel", "0 AS timepoint", f"{c} AS value")
-        return {c: _frames(regions, dims, how)(one(c)).drop("timepoint") for c in ("alff", "falff")}
+def alff(name: str, regions: str, dims: dict, highpass: float = 0.01, lowpass: float = 0.1, tr: float = 1.0, on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    of = Regions(regions, dims, **how)
+
+    def compute(s: DataFrame, keys: Keys) -> dict[str, DataFrame]:
+        voxels = spectral.alff(s, highpass, lowpass, tr, keys=keys)
+        one = lambda c: voxels.select(*keys, "voxel", F.lit(0).alias("timepoint"), F.col(c).alias("value"))
+        return {c: of.frames(one(c), keys).drop("timepoint") for c in ("alff", "falff")}
 
-    return Marker(name, {"alff": "vector", "falff": "vector"}, compute, params=how | {"highpass": highpass, "lowpass": lowpass})
+    return Marker(name, {"alff": "vector", "falff": "vector"}, compute, on, _described(regions=regions, highpass=highpass, lowpass=lowpass, tr=tr, **dims, **how))
 
 
 @register("marker")
-def regional_homogeneity(name: str, regions: str, dims: dict, nneigh: int = 27, **how) -> Marker:
-    return Marker(name, {"reho": "vector"}, lambda s: {"reho": _frames(regions, dims, how)(reho.reho(s, dims["grid"], nneigh)).drop("timepoint")}, params=how | {"nneigh": nneigh})
+def regional_homogeneity(name: str, regions: str, dims: dict, nneigh: int = 27, on: Sequence[str] = ("BOLD",), **how) -> Marker:
+    of = Regions(regions, dims, **how)
+    compute = lambda s, keys: {"reho": of.frames(reho.reho(s, of.grid(s), nneigh, keys=keys), keys).drop("timepoint")}
+    return Marker(name, {"reho": "vector"}, compute, on, _described(regions=regions, nneigh=nneigh, **dims, **how))
 
 
 @register("marker")
-def complexity_of(name: str, parcels: DataFrame, kind: str, **params) -> Marker:
-    return Marker(name, {"complexity": "vector"}, lambda s: {"complexity": complexity.complexity(aggregate.parcel_aggregation(s, parcels), kind, **params)}, params=params | {"kind": kind})
+def complexity_of(name: str, parcels: DataFrame | str, kind: str, on: Sequence[str] = ("BOLD",), **params) -> Marker:
+    of = Regions("parcels", {"parcels": parcels})
+    return Marker(name, {"complexity": "vector"}, lambda s, keys: {"complexity": complexity.complexity(of.frames(s, keys), kind, keys, **params)}, on, _described(parcels=parcels, kind=kind, **params))

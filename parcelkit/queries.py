@@ -11,6 +11,8 @@ from parcelkit import fixtures as fx
 from parcelkit.fixtures import with_tables as w
 from parcelkit.functions import stats
 from parcelkit.operators import aggregate, complexity, connectivity, dims, onthefly, prep, reho, spectral
+from parcelkit.plans import markers
+from parcelkit.plans.lineage import cut
 from parcelkit.sources import elements, patterns, readers, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +82,16 @@ def parcel_trimmed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(aggregate.parcel_aggregation(fx.signal(spark, d), fx.parcels(spark, 8), "trim_mean", {"proportiontocut": 0.2}))
 
 
+_EDGE = "(SELECT 0 AS element, 0 AS timepoint, c_custkey AS voxel, c_acctbal AS value, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer WHERE c_custkey <= 100)"
+
+
+@query("parcel_trimmed_edge", f"SELECT element, timepoint, 'all' AS col, {R('avg(value)')} FROM {_EDGE} WHERE r BETWEEN 29 AND 72 GROUP BY ALL")
+def parcel_trimmed_edge(spark: SparkSession, d: str) -> DataFrame:
+    """0.29 of 100 values is 28.999999999999996: 28 values go on either side."""
+    c = fx.table(spark, d, "customer").where("c_custkey <= 100").select(F.lit(0).alias("element"), F.lit(0).alias("timepoint"), F.col("c_custkey").cast("int").alias("voxel"), F.col("c_acctbal").alias("value"))
+    return rounded(aggregate.parcel_aggregation(c, c.select("voxel", F.lit("all").alias("label")), "trim_mean", {"proportiontocut": 0.29}))
+
+
 @query("parcel_time_mean", f"{_S16} SELECT element, col, {R('stddev_pop(v)')} FROM (SELECT element, timepoint, label AS col, avg(value) AS v FROM signal JOIN parc16 USING (voxel) GROUP BY ALL) GROUP BY ALL")
 def parcel_time_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(aggregate.parcel_aggregation(fx.signal(spark, d), fx.parcels(spark, 4), "mean", time_method="std"))
@@ -249,6 +261,25 @@ def edge_fc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(connectivity.edge_connectivity(_series(spark, d, 8)))
 
 
+_RANGED = f"""{_S8}, x AS (SELECT element, timepoint, idx, col, CASE WHEN (timepoint + idx) % 7 <> 0 THEN value END AS value FROM series8)"""
+
+
+@query("fc_cross_spearman_missing", f"""{_RANGED}, p AS (SELECT element, a.idx AS row_idx, a.col AS "row", b.idx AS col_idx, b.col AS col, timepoint, a.value AS x, b.value AS y FROM x a JOIN x b USING (element, timepoint) WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY element, row_idx, col_idx ORDER BY x) + (count(*) OVER (PARTITION BY element, row_idx, col_idx, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY element, row_idx, col_idx ORDER BY y) + (count(*) OVER (PARTITION BY element, row_idx, col_idx, y) - 1) / 2.0 AS ry FROM p)
+SELECT element, "row", CAST(row_idx AS INTEGER) AS row_idx, col, CAST(col_idx AS INTEGER) AS col_idx, {R(_corr('rx', 'ry'))} FROM r GROUP BY ALL""")
+def fc_cross_spearman_missing(spark: SparkSession, d: str) -> DataFrame:
+    gaps = _series(spark, d, 8).withColumn("value", F.when((F.col("timepoint") + F.col("idx")) % 7 != 0, F.col("value")))
+    return rounded(connectivity.cross(gaps, gaps, "spearman"))
+
+
+@query("fc_multi_key", w("signal", "parc16", "series16") + f"SELECT 'sub-' || CAST(element // 2 AS VARCHAR) AS subject, 'ses-' || CAST(element % 2 AS VARCHAR) AS session, {_CELLS.removeprefix('element, ')}, {R(_corr('a.value', 'b.value'))} FROM series16 a JOIN series16 b USING (element, timepoint) WHERE a.idx >= b.idx GROUP BY ALL")
+def fc_multi_key(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["subject", "session"]
+    two = fx.signal(spark, d).select(F.concat(F.lit("sub-"), F.floor(F.col("element") / 2).cast("string")).alias("subject"), F.concat(F.lit("ses-"), (F.col("element") % 2).cast("string")).alias("session"), "timepoint", "voxel", "value")
+    marker = markers.functional_connectivity("fc", "parcels", {"parcels": fx.parcels(spark, 4)}, fx.labels(4))
+    return rounded(marker.features(two, keys)["functional_connectivity"][1])
+
+
 # Voxel maps.
 
 _TSNR = "tsnr AS (SELECT element, voxel, avg(value) / nullif(stddev_pop(value), 0) AS v FROM signal GROUP BY ALL)"
@@ -375,6 +406,32 @@ def scrub(spark: SparkSession, d: str) -> DataFrame:
     return prep.scrub(fx.confounds(spark, d), segment=3)
 
 
+@query("scrub_nan", f"""{_CONF} SELECT element, timepoint FROM confounds WHERE NOT (coalesce(framewise_displacement > 0.5 AND timepoint > 0, false) OR coalesce(std_dvars > 1.5 AND timepoint > 0, false))""")
+def scrub_nan(spark: SparkSession, d: str) -> DataFrame:
+    gone = lambda c: F.when(F.col("timepoint") == 0, F.lit(float("nan"))).otherwise(F.col(c))  # noqa: E731  as a first frame has it
+    return prep.scrub(fx.confounds(spark, d).withColumns({c: gone(c) for c in ("framewise_displacement", "std_dvars")}))
+
+
+_MOVED = "fd AS (SELECT element, timepoint, max(abs(value)) FILTER (voxel < 8) * 2 AS fd, avg(value) FILTER (voxel = 0) AS csf, avg(value) FILTER (voxel = 1) AS white_matter FROM signal GROUP BY ALL)"
+_FREED = lambda c, by, src, x: f"{c} - avg({c}) OVER {by} - covar_pop({c}, {x}) OVER {by} / nullif(var_pop({x}) OVER {by}, 0) * ({x} - avg({x}) OVER {by}) AS {c}"  # noqa: E731, ARG005
+
+
+@query("confound_remover", f"""{w('signal')}, {_MOVED}, calm AS (SELECT * FROM fd WHERE NOT fd > 0.5),
+x AS (SELECT element, timepoint, {_FREED('csf', 'e', '', 'timepoint')}, {_FREED('white_matter', 'e', '', 'timepoint')} FROM calm WINDOW e AS (PARTITION BY element)),
+x1 AS (SELECT element, timepoint, csf, {_FREED('white_matter', 'e', '', 'csf')} FROM x WINDOW e AS (PARTITION BY element)),
+y AS (SELECT element, voxel, timepoint, {_FREED('value', 'v', '', 'timepoint')} FROM signal JOIN calm USING (element, timepoint) WINDOW v AS (PARTITION BY element, voxel)),
+y0 AS (SELECT y.*, csf, white_matter FROM y JOIN x1 USING (element, timepoint)),
+y1 AS (SELECT element, voxel, timepoint, {_FREED('value', 'v', '', 'csf')}, white_matter FROM y0 WINDOW v AS (PARTITION BY element, voxel)),
+y2 AS (SELECT element, voxel, timepoint, {_FREED('value', 'v', '', 'white_matter')} FROM y1 WINDOW v AS (PARTITION BY element, voxel))
+SELECT element, voxel, timepoint, round((value - avg(value) OVER v) / stddev_samp(value) OVER v, 4) + 0.0 AS value FROM y2 WHERE voxel >= 2 WINDOW v AS (PARTITION BY element, voxel)""")
+def confound_remover(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.signal(spark, d)
+    first = lambda k: F.avg(F.when(F.col("voxel") == k, F.col("value")))
+    moved = s.groupBy("element", "timepoint").agg((F.max(F.when(F.col("voxel") < 8, F.abs("value"))) * 2).alias("framewise_displacement"), F.lit(0.0).alias("std_dvars"), first(0).alias("csf"), first(1).alias("white_matter"))
+    freed = prep.confound_remover(s.where("voxel >= 2"), moved, {"wm_csf": "basic"}, scrub_segment=0, fd_threshold=0.5)
+    return freed.withColumn("value", F.round("value", 4) + F.lit(0.0))
+
+
 @query("confound_regress1", f"""{w('ev')}, x AS (SELECT element, timepoint, value AS x FROM ev WHERE col = 'view'), j AS (SELECT ev.element, col, timepoint, value, x FROM ev JOIN x USING (element, timepoint) WHERE col <> 'view')
 SELECT element, col, timepoint, {R('value - avg(value) OVER w - coalesce(covar_pop(value, x) OVER w / nullif(var_pop(x) OVER w, 0), 0) * (x - avg(x) OVER w)')} FROM j WINDOW w AS (PARTITION BY element, col)""")
 def confound_regress1(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +439,22 @@ def confound_regress1(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prep.regress_one(events.where("col <> 'view'"), events.where("col = 'view'").withColumnRenamed("value", "x"), by="col"))
 
 
-@query("confound_regress_k")
+def _residuals(k: int) -> str:
+    """Regression on k confounds, one after the other, each freed of those before it."""
+    steps, names = [], [f"n{j}" for j in range(k)]
+    steps.append("x0 AS (SELECT element, timepoint, " + ", ".join(f"max(value) FILTER (voxel = {j}) AS n{j}" for j in range(k)) + " FROM signal GROUP BY ALL)")
+    for j in range(k):
+        over = "OVER (PARTITION BY element)"
+        rest = lambda c: f"{c} - avg({c}) {over} - covar_pop({c}, n{j}) {over} / nullif(var_pop(n{j}) {over}, 0) * (n{j} - avg(n{j}) {over}) AS {c}"  # noqa: E731, B023
+        steps.append(f"x{j + 1} AS (SELECT element, timepoint, {', '.join([*names[: j + 1], *map(rest, names[j + 1 :])])} FROM x{j})")
+    steps.append(f"y0 AS (SELECT element, timepoint, voxel, value AS y, {', '.join(names)} FROM signal JOIN x{k} USING (element, timepoint) WHERE voxel >= {k})")
+    for j in range(k):
+        over = "OVER (PARTITION BY element, voxel)"
+        steps.append(f"y{j + 1} AS (SELECT element, timepoint, voxel, y - avg(y) {over} - covar_pop(y, n{j}) {over} / nullif(var_pop(n{j}) {over}, 0) * (n{j} - avg(n{j}) {over}) AS y, {', '.join(names)} FROM y{j})")
+    return w("signal") + ", " + ", ".join(steps) + f" SELECT element, voxel, timepoint, {R('y')} FROM y{k}"
+
+
+@query("confound_regress_k", _residuals(4))
 def confound_regress_k(spark: SparkSession, d: str) -> DataFrame:
     s = fx.signal(spark, d)
     noise = s.where("voxel < 4").groupBy("element", "timepoint").pivot("voxel", [0, 1, 2, 3]).agg(F.first("value")).toDF("element", "timepoint", "n0", "n1", "n2", "n3")
@@ -444,9 +516,20 @@ def elements_tasks(spark: SparkSession, d: str) -> DataFrame:
     return elements.task_elements(spark, ["a", "b"], ["REST1", "WM"], ["LR", "RL"])
 
 
-@query("pattern_parse", "WITH p AS (SELECT url, regexp_extract(url, '^https://([^/]+?)/([^/]+?)$', 1) AS host, regexp_extract(url, '^https://([^/]+?)/([^/]+?)$', 2) AS page FROM pages) SELECT host, page, url AS path FROM p WHERE regexp_full_match(url, 'https://[^/]+/[^/]+')")
+_URL = "^(https?)://([^/]+?)/([^/]+?)/([^/]+?)$"
+
+
+@query("pattern_parse", "SELECT " + ", ".join(f"regexp_extract(url, '{_URL}', {k}) AS {n}" for k, n in enumerate(("scheme", "host", "lang", "page"), 1)) + f", url AS path FROM pages WHERE regexp_matches(url, '{_URL}')")
 def pattern_parse(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.parse(fx.table(spark, d, "pages"), "https://{host}/{page}", ["host", "page"], F.col("url"))
+    return patterns.parse(fx.table(spark, d, "pages"), "{scheme}://{host}/{lang}/{page}", ["scheme", "host", "lang", "page"], F.col("url"))
+
+
+@query("pattern_repeated", "SELECT n_name AS nation, c_mktsegment AS segment, n_name || '/' || c_mktsegment || '_' || n_name || '_run-' || CAST(c_custkey % 10 AS VARCHAR) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 <> 0")
+def pattern_repeated(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.table(spark, d, "customer").join(fx.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    second = F.when(F.col("c_custkey") % 3 == 0, "other").otherwise(F.col("n_name"))
+    files = c.select(F.concat("n_name", F.lit("/"), "c_mktsegment", F.lit("_"), second, F.lit("_run-"), (F.col("c_custkey") % 10).cast("string")).alias("path"))
+    return patterns.parse(files, "{nation}/{segment}_{nation}_run-[0-9]", ["nation", "segment"])
 
 
 @query("pack_frames", w("signal") + "SELECT element, timepoint, list(value ORDER BY voxel) AS values FROM signal GROUP BY ALL")
@@ -470,7 +553,19 @@ _OLD, _NEW = "SELECT * FROM customer WHERE c_custkey % 2 = 0", "SELECT * REPLACE
 query("upsert_update", f"{_NEW} UNION ALL {_OLD} AND c_custkey % 3 <> 0")(lambda spark, d: store.upsert(*_old_new(spark, d), ["c_custkey"], "update"))
 query("upsert_ignore", f"{_OLD} UNION ALL {_NEW} AND c_custkey % 2 <> 0")(lambda spark, d: store.upsert(*_old_new(spark, d), ["c_custkey"], "ignore"))
 query("append_dedup", f"{_NEW} AND c_custkey % 2 <> 0")(lambda spark, d: store.not_stored(*_old_new(spark, d)[::-1], ["c_custkey"]))
-query("collect_union", "SELECT * FROM customer")(lambda spark, d: _old_new(spark, d)[0].unionByName(fx.table(spark, d, "customer").where("c_custkey % 2 <> 0")))
+
+
+@query("collect_union", "SELECT CAST(c_custkey AS VARCHAR) AS customer, c_mktsegment AS col, CAST(c_acctbal AS DOUBLE) AS value FROM customer")
+def collect_union(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer"), F.col("c_mktsegment").alias("col"), F.lit(0).alias("col_idx"), F.col("c_acctbal").alias("value"))
+    with fx.store_folder(spark) as folder:
+        parts = [store.FeatureStore(spark, f"{folder}/part{k}", ["customer"], force_float32=False) for k in range(3)]
+        for k, part in enumerate(parts):  # the parts share some customers
+            part.store("vector", c.where(f"customer % 3 = {k} OR customer % 7 = 0"), {"element": {"customer": ""}, "type": "BOLD", "marker": {"name": "balance"}})
+        whole = store.FeatureStore(spark, f"{folder}/whole", ["customer"], force_float32=False)
+        whole.collect(parts)
+        return cut(whole.read("BOLD_balance").select("customer", "col", "value"))
+
 
 _F8 = w("signal", "parc8", "series8", "fc8")
 
@@ -551,20 +646,21 @@ query("normalize_volume", _EIGEN + "SELECT subject, CAST(ev AS INTEGER) AS ev, r
 query("reweight", _EIGEN + "SELECT subject, CAST(ev AS INTEGER) AS ev, value / ev AS value FROM l")(lambda spark, d: onthefly.reweight(_eigen(spark, d)[0], "ev", ["subject"]))
 
 
-# The catalog, from a store in the session's warehouse.
-
-def _stored(spark: SparkSession, d: str) -> store.FeatureStore:
-    import uuid
+# The catalog, from a store in a folder of its own, which is deleted again.
 
-    kept = store.FeatureStore(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/features-{uuid.uuid4().hex}", ["element"])
-    for size in (4, 8):
-        frames = aggregate.parcel_aggregation(fx.signal(spark, d), fx.parcels(spark, size), time_method="mean").withColumn("col_idx", F.lit(0))
-        kept.store("vector", frames, {"element": {"element": ""}, "type": "BOLD", "marker": {"name": f"mean{size}_aggregation"}})
-    return kept
+def _stored(spark: SparkSession, d: str, read: Callable[[store.FeatureStore], DataFrame]) -> DataFrame:
+    with fx.store_folder(spark) as folder:
+        kept = store.FeatureStore(spark, folder, ["element"])
+        for size in (4, 8):
+            frames = aggregate.parcel_aggregation(fx.signal(spark, d), fx.parcels(spark, size), time_method="mean").withColumn("col_idx", F.lit(0))
+            kept.store("vector", frames, {"element": {"element": ""}, "type": "BOLD", "marker": {"name": f"mean{size}_aggregation"}})
+        return cut(read(kept))
 
 
-query("catalog_list", "SELECT 'BOLD_mean4_aggregation' AS name, 'vector' AS kind UNION ALL SELECT 'BOLD_mean8_aggregation', 'vector'")(lambda spark, d: _stored(spark, d).catalog().select("name", "kind"))
-query("feature_lookup", f"{_S8} SELECT element, col, round(CAST(CAST(avg(value) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM series8 GROUP BY ALL")(lambda spark, d: _stored(spark, d).read("BOLD_mean8_aggregation").select("element", "col", (F.round(F.col("value").cast("double"), 6) + F.lit(0.0)).alias("value")))
+query("catalog_list", "SELECT 'BOLD_mean4_aggregation' AS name, 'vector' AS kind UNION ALL SELECT 'BOLD_mean8_aggregation', 'vector'")(lambda spark, d: _stored(spark, d, lambda k: k.catalog().select("name", "kind")))
+query("feature_lookup", f"{_S8} SELECT element, col, round(CAST(CAST(avg(value) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM series8 GROUP BY ALL")(
+    lambda spark, d: _stored(spark, d, lambda k: k.read("BOLD_mean8_aggregation").select("element", "col", (F.round(F.col("value").cast("double"), 6) + F.lit(0.0)).alias("value")))
+)
 
 
 def queries() -> dict[str, Query]:

@@ -9,16 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _selectors(elements: DataFrame, selectors: Sequence[str | Sequence[str]]) -> DataFrame:
+    """A table (place, wanted) of the selectors' texts."""
+    rows = [(k, sorted({str(v) for v in ([s] if isinstance(s, str | int) else s)})) for k, s in enumerate(selectors)]
+    return elements.sparkSession.createDataFrame(rows, "place int, wanted array<string>")
+
+
+def _matches(elements: DataFrame, selectors: Sequence[str | Sequence[str]]) -> DataFrame:
+    """(keys, place) of every element and selector that fit.
+
+    A selector meets the elements that have its first text among their keys, by an equality join.
+    """
+    keyed = elements.select("*", F.array(*[F.col(c).cast("string") for c in elements.columns]).alias("_keys"))
+    each = keyed.withColumn("_first", F.explode(F.array_distinct("_keys")))
+    wanted = _selectors(elements, selectors).select("place", "wanted", F.get("wanted", F.lit(0)).alias("_first"))
+    return each.join(wanted, "_first").where(F.size(F.array_except("wanted", "_keys")) == 0)
+
+
 def select(elements: DataFrame, selectors: Sequence[str | Sequence[str]]) -> DataFrame:
     """Elements that fit any selector: a text that equals some key, or a set of texts that are all among the keys."""
-    keys = F.array(*[F.col(c).cast("string") for c in elements.columns])
-    one = [F.array_contains(keys, str(s)) if isinstance(s, str | int) else F.size(F.array_except(F.array(*[F.lit(str(v)) for v in s]), keys)) == 0 for s in selectors]
-    return elements.where(reduce(lambda a, b: a | b, one, F.lit(False)))
+    if not selectors:
+        return elements.where("false")
+    return _matches(elements, selectors).select(*elements.columns).distinct()
 
 
 def unmatched(elements: DataFrame, selectors: Sequence[str | Sequence[str]]) -> list:
-    """Selectors that fit no element."""
-    return [s for s in selectors if not select(elements, [s]).limit(1).count()]
+    """Selectors that fit no element; one job for all of them."""
+    if not selectors:
+        return []
+    hit = _matches(elements, selectors).select("place").distinct()
+    missing = _selectors(elements, selectors).join(hit, "place", "left_anti").select("place").collect()
+    return [selectors[r["place"]] for r in sorted(missing, key=lambda r: r["place"])]
 
 
 def intersect(tables: Sequence[DataFrame]) -> DataFrame:
@@ -69,16 +90,3 @@ def session_elements(spark: SparkSession, subjects: Sequence[str], sessions: Seq
     df = product(spark, subject=subjects, session=sessions, task=tasks, phase_encoding=encodings)
     df = df.withColumn("run", F.when(F.col("phase_encoding") == "AP", "1").otherwise("2"))
     return df if excluded is None else without(df, excluded)
-
-
-#: Presets of published data sets: folder patterns by type and the keys they have.
-PRESETS: dict[str, dict] = {
-    "hcp1200": {"keys": ["subject", "task", "phase_encoding"], "patterns": {"BOLD": "{subject}/MNINonLinear/Results/{task}_{phase_encoding}/{task}_{phase_encoding}.nii.gz", "T1w": "{subject}/T1w/T1w_acpc_dc_restore.nii.gz"}},
-    "id1000": {"keys": ["subject"], "patterns": {"BOLD": "{subject}/func/{subject}_task-moviewatching_bold.nii.gz", "T1w": "{subject}/anat/{subject}_T1w.nii.gz"}},
-    "piop": {"keys": ["subject", "task"], "patterns": {"BOLD": "{subject}/func/{subject}_task-{task}_bold.nii.gz", "T1w": "{subject}/anat/{subject}_T1w.nii.gz"}},
-    "dmcc13": {"keys": ["subject", "session", "task", "phase_encoding", "run"], "patterns": {"BOLD": "{subject}/{session}/func/{subject}_{session}_task-{task}_acq-{phase_encoding}_run-{run}_bold.nii.gz"}},
-    "camcan_vbm": {"keys": ["subject"], "patterns": {"VBM_GM": "{subject}/mwp1{subject}.nii.gz"}},
-    "ixi_vbm": {"keys": ["site", "subject"], "patterns": {"VBM_GM": "{site}/{subject}/mri/m0wp1{subject}.nii.gz"}},
-    "ukb_vbm": {"keys": ["subject", "session"], "patterns": {"VBM_GM": "m0wp1{subject}_{session}_T1w.nii.gz"}},
-    "ucla": {"keys": ["subject", "task"], "patterns": {"BOLD": "{subject}/func/{subject}_task-{task}_bold.nii.gz", "T1w": "{subject}/anat/{subject}_T1w.nii.gz"}},
-}

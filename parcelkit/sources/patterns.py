@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 _HOLE = re.compile(r"\{(\w+)\}")
 
 
-def to_regex(pattern: str, replacements: Sequence[str]) -> tuple[str, list[str]]:
+def to_regex(pattern: str, replacements: Sequence[str], values: dict[str, Sequence[str]] | None = None) -> tuple[str, list[str]]:
     """A Java regex for the pattern, and the placeholders in the order of its groups.
 
     A placeholder that comes again must hold the same text; * is any text within a folder, and a
-    bracket expression is any one character.
+    bracket expression is any one character. A placeholder with ``values`` is one of these.
     """
     keys: list[str] = []
     out, at = [], 0
@@ -31,13 +31,14 @@ def to_regex(pattern: str, replacements: Sequence[str]) -> tuple[str, list[str]]
             out.append(f"\\{keys.index(m[1]) + 1}")
         else:
             keys.append(m[1])
-            out.append("([^/]+?)")
+            options = (values or {}).get(m[1])
+            out.append("([^/]+?)" if options is None else f"({'|'.join(map(re.escape, sorted(options, key=len, reverse=True)))})")
     return "^" + "".join(out) + re.escape(pattern[at:]) + "$", keys
 
 
-def parse(paths: DataFrame, pattern: str, replacements: Sequence[str], path: Column | None = None) -> DataFrame:
+def parse(paths: DataFrame, pattern: str, replacements: Sequence[str], path: Column | None = None, values: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """The paths that fit, with the placeholders' values as columns."""
-    regex, keys = to_regex(pattern, replacements)
+    regex, keys = to_regex(pattern, replacements, values)
     p = F.col("path") if path is None else path
     return paths.where(p.rlike(regex)).select(*[F.regexp_extract(p, regex, k + 1).alias(key) for k, key in enumerate(keys)], p.alias("path"))
 
@@ -76,22 +77,26 @@ class PatternSource:
     """Types of data as tables of paths, keyed by placeholders.
 
     ``patterns`` maps a type to a dict with its pattern and, nested, those of what belongs to it, or
-    to a list of such dicts.
+    to a list of such dicts. ``values`` limits placeholders to what they may be.
     """
 
-    def __init__(self, types: Sequence[str], patterns: dict, replacements: Sequence[str], files: DataFrame, partial_pattern_ok: bool = False):
+    def __init__(self, types: Sequence[str], patterns: dict, replacements: Sequence[str], files: DataFrame, partial_pattern_ok: bool = False, values: dict[str, Sequence[str]] | None = None):
         validate(patterns, replacements, types)
+        self.values = values or {}
         self.types, self.patterns, self.replacements, self.files = list(types), patterns, list(replacements), files
         self.partial = partial_pattern_ok
 
     def _one(self, spec: dict) -> DataFrame:
-        base = parse(self.files, spec["pattern"], self.replacements)
+        base = parse(self.files, spec["pattern"], self.replacements, values=self.values)
         keys = [c for c in base.columns if c != "path"]
-        if base.groupBy(*keys).count().where("count > 1").limit(1).count():
+        most = base.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if most is None:
+            raise ValueError(f"no file fits {spec['pattern']}")
+        if most > 1:
             raise ValueError(f"more than one file of an element fits {spec['pattern']}")
         for name, nested in spec.items():
             if isinstance(nested, dict) and "pattern" in nested:
-                inner = parse(self.files, nested["pattern"], self.replacements)
+                inner = parse(self.files, nested["pattern"], self.replacements, values=self.values)
                 on = [c for c in inner.columns if c != "path" and c in keys]
                 struct = F.struct(F.col("path").alias("path"), *[F.lit(v).alias(k) for k, v in nested.items() if isinstance(v, str) and k != "pattern"])
                 base = base.join(inner.select(*on, struct.alias(name)), on, "left" if self.partial else "inner")
