@@ -11,7 +11,7 @@ from parcelkit import fixtures as fx
 from parcelkit.fixtures import with_tables as w
 from parcelkit.functions import stats
 from parcelkit.operators import aggregate, complexity, connectivity, dims, onthefly, prep, reho, spectral
-from parcelkit.plans import markers
+from parcelkit.plans import markers, pipeline
 from parcelkit.plans.lineage import cut
 from parcelkit.sources import elements, patterns, readers, store
 
@@ -82,13 +82,13 @@ def parcel_trimmed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(aggregate.parcel_aggregation(fx.signal(spark, d), fx.parcels(spark, 8), "trim_mean", {"proportiontocut": 0.2}))
 
 
-_EDGE = "(SELECT 0 AS element, 0 AS timepoint, c_custkey AS voxel, c_acctbal AS value, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer WHERE c_custkey <= 100)"
+_EDGE = "(SELECT 0 AS element, 0 AS timepoint, c_custkey AS voxel, c_acctbal AS value, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer WHERE c_custkey BETWEEN 1 AND 100)"
 
 
 @query("parcel_trimmed_edge", f"SELECT element, timepoint, 'all' AS col, {R('avg(value)')} FROM {_EDGE} WHERE r BETWEEN 29 AND 72 GROUP BY ALL")
 def parcel_trimmed_edge(spark: SparkSession, d: str) -> DataFrame:
     """0.29 of 100 values is 28.999999999999996: 28 values go on either side."""
-    c = fx.table(spark, d, "customer").where("c_custkey <= 100").select(F.lit(0).alias("element"), F.lit(0).alias("timepoint"), F.col("c_custkey").cast("int").alias("voxel"), F.col("c_acctbal").alias("value"))
+    c = fx.table(spark, d, "customer").where("c_custkey BETWEEN 1 AND 100").select(F.lit(0).alias("element"), F.lit(0).alias("timepoint"), F.col("c_custkey").cast("int").alias("voxel"), F.col("c_acctbal").alias("value"))
     return rounded(aggregate.parcel_aggregation(c, c.select("voxel", F.lit("all").alias("label")), "trim_mean", {"proportiontocut": 0.29}))
 
 
@@ -153,7 +153,11 @@ _mask("mask_union", 0.0, 1)
 _mask("mask_threshold", 0.5, 1)
 
 
-@query("mask_connected")
+@query("mask_connected", w("grid", "mask_a", "mask_b").replace("WITH ", "WITH RECURSIVE ") + """, cells AS (SELECT voxel, x, y, z FROM grid WHERE voxel IN (SELECT voxel FROM mask_a) AND voxel IN (SELECT voxel FROM mask_b)),
+near AS (SELECT a.voxel AS u, b.voxel AS v FROM cells a JOIN cells b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
+reach AS (SELECT voxel AS u, voxel AS v FROM cells UNION SELECT reach.u, near.v FROM reach JOIN near ON near.u = reach.v),
+part AS (SELECT u AS voxel, min(v) AS label FROM reach GROUP BY u), size AS (SELECT label, count(*) AS n FROM part GROUP BY label)
+SELECT voxel FROM part WHERE label = (SELECT label FROM size ORDER BY n DESC, label LIMIT 1)""")
 def mask_connected(spark: SparkSession, d: str) -> DataFrame:
     return dims.intersect_masks([fx.mask(spark, "a"), fx.mask(spark, "b")], 1.0, True, fx.grid(spark))
 
@@ -234,8 +238,35 @@ def fc_xi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(connectivity.matrix(_series(spark, d, 8), "xi correlation"))
 
 
-for _name, _kind, _shrink in (("fc_partial", "partial correlation", False), ("fc_precision", "precision", False), ("fc_ledoit_wolf", "correlation", True)):
-    query(_name)(lambda spark, d, kind=_kind, shrink=_shrink: rounded(connectivity.matrix(_series(spark, d, 8), kind, shrink)))
+_COV = "c AS (SELECT element, a.idx AS i, b.idx AS j, covar_pop(a.value, b.value) AS c FROM t a JOIN t b USING (element, timepoint) GROUP BY ALL)"
+#: Three series, the covariance matrix in one row, and its inverse by cofactors.
+_THREE = f"""{_S8}, t AS (SELECT * FROM series8 WHERE idx < 3), {_COV},
+m AS (SELECT element, {", ".join(f"max(c) FILTER (i = {i} AND j = {j}) AS c{i}{j}" for i in range(3) for j in range(i + 1))} FROM c GROUP BY element),
+p AS (SELECT element, c00 * (c11 * c22 - c21 * c21) - c10 * (c10 * c22 - c21 * c20) + c20 * (c10 * c21 - c11 * c20) AS det, c11 * c22 - c21 * c21 AS p00, c00 * c22 - c20 * c20 AS p11, c00 * c11 - c10 * c10 AS p22,
+  c20 * c21 - c10 * c22 AS p10, c10 * c21 - c11 * c20 AS p20, c10 * c20 - c00 * c21 AS p21 FROM m)"""
+
+
+def _three(cell: Callable[[int, int], str]) -> str:
+    return f"{_THREE} " + " UNION ALL ".join(f"""SELECT element, 'P{i + 1}' AS "row", {i} AS row_idx, 'P{j + 1}' AS col, {j} AS col_idx, {R(cell(i, j))} FROM p""" for i in range(3) for j in range(i + 1))
+
+
+for _name, _kind, _cell in (
+    ("fc_precision", "precision", lambda i, j: f"p{i}{j} / det"),
+    ("fc_partial", "partial correlation", lambda i, j: "1.0" if i == j else f"-p{i}{j} / sqrt(p{i}{i} * p{j}{j})"),
+):
+    query(_name, _three(_cell))(lambda spark, d, kind=_kind: rounded(connectivity.matrix(_series(spark, d, 8).where("idx < 3"), kind)))
+
+
+#: The shrinkage of Ledoit and Wolf from sums over cells and frames.
+@query("fc_ledoit_wolf", f"""{_S8}, n AS (SELECT element, count(DISTINCT timepoint)::DOUBLE AS n, count(DISTINCT idx)::DOUBLE AS k FROM series8 GROUP BY ALL),
+z AS (SELECT element, timepoint, idx, col, value - avg(value) OVER (PARTITION BY element, idx) AS value FROM series8),
+s AS (SELECT element, a.idx AS i, a.col AS ci, b.idx AS j, b.col AS cj, avg(a.value * b.value) AS s, avg(a.value * a.value * b.value * b.value) AS q FROM z a JOIN z b USING (element, timepoint) GROUP BY ALL),
+mu AS (SELECT element, sum(s) FILTER (i = j) / any_value(k) AS mu FROM s JOIN n USING (element) GROUP BY ALL),
+d AS (SELECT element, any_value(mu) AS mu, sum((s - CASE WHEN i = j THEN mu ELSE 0 END) ** 2) / any_value(k) AS delta, sum(q - s * s) / (any_value(k) * any_value(n)) AS beta FROM s JOIN mu USING (element) JOIN n USING (element) GROUP BY element),
+r AS (SELECT s.*, (1 - least(beta, delta) / delta) * s + CASE WHEN i = j THEN least(beta, delta) / delta * mu ELSE 0 END AS r FROM s JOIN d USING (element))
+SELECT a.element, a.ci AS "row", CAST(a.i AS INTEGER) AS row_idx, a.cj AS col, CAST(a.j AS INTEGER) AS col_idx, {R('a.r / sqrt(x.r * y.r)')} FROM r a JOIN r x ON x.element = a.element AND x.i = a.i AND x.j = a.i JOIN r y ON y.element = a.element AND y.i = a.j AND y.j = a.j WHERE a.i >= a.j""")
+def fc_ledoit_wolf(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(connectivity.matrix(_series(spark, d, 8), "correlation", True))
 
 
 @query("fc_tangent")
@@ -280,6 +311,48 @@ def fc_multi_key(spark: SparkSession, d: str) -> DataFrame:
     return rounded(marker.features(two, keys)["functional_connectivity"][1])
 
 
+_THREE_MAPS = "(SELECT voxel, 'm' || CAST(voxel % 3 AS VARCHAR) AS col, CAST(voxel % 3 AS INTEGER) AS idx, 1.0 + voxel % 4 AS w FROM grid)"
+_THREE_SEEDS = "(SELECT voxel, s AS col, CAST(i AS INTEGER) AS idx, 1.0 AS w FROM grid g JOIN (VALUES ('s0', 0, 0, 0, 0), ('s1', 1, 3, 0, 0), ('s2', 2, 0, 3, 3)) q(s, i, a, b, c) ON (g.x - a) ** 2 + (g.y - b) ** 2 + (g.z - c) ** 2 <= 1)"
+
+
+def _edge_sql(regions: str, value: str) -> str:
+    return f"""{w('signal', 'grid')}, t AS (SELECT element, timepoint, idx, col, {value} AS value FROM signal JOIN {regions} q USING (voxel) GROUP BY ALL),
+z AS (SELECT element, timepoint, idx, col, (value - avg(value) OVER v) / nullif(stddev_pop(value) OVER v, 0) AS value FROM t WINDOW v AS (PARTITION BY element, idx)),
+ets AS (SELECT element, timepoint, a.idx * (a.idx - 1) // 2 + b.idx AS idx, a.col || '~' || b.col AS col, a.value * b.value AS value FROM z a JOIN z b USING (element, timepoint) WHERE a.idx > b.idx)
+SELECT {_CELLS}, {R(_corr('a.value', 'b.value'))} FROM ets a JOIN ets b USING (element, timepoint) WHERE a.idx >= b.idx GROUP BY ALL"""
+
+
+@query("edge_fc_spheres", _edge_sql(_THREE_SEEDS, "avg(value)"))
+def edge_fc_spheres(spark: SparkSession, d: str) -> DataFrame:
+    seeds = spark.createDataFrame([("s0", 0.0, 0.0, 0.0), ("s1", 3.0, 0.0, 0.0), ("s2", 0.0, 3.0, 3.0)], "seed string, x double, y double, z double")
+    return rounded(markers.functional_connectivity("e", "spheres", {"grid": fx.grid(spark), "seeds": seeds}, edges=True, radius=1.0).features(fx.signal(spark, d))["functional_connectivity"][1])
+
+
+@query("edge_fc_maps", _edge_sql(_THREE_MAPS, "sum(value * w) / sum(w * w)"))
+def edge_fc_maps(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("voxel")
+    maps = fx.grid(spark).select("voxel", F.concat(F.lit("m"), (v % 3).cast("string")).alias("region"), (1.0 + v % 4).alias("weight"))
+    return rounded(markers.functional_connectivity("e", "maps", {"maps": maps}, edges=True).features(fx.signal(spark, d))["functional_connectivity"][1])
+
+
+@query("pipeline_yaml", w("signal", "parc16", "series16") + f"""SELECT 'sub-' || CAST(element // 2 AS VARCHAR) AS subject, 'ses-' || CAST(element % 2 AS VARCHAR) AS session, {_CELLS.removeprefix('element, ')},
+  {R(_corr('a.value', 'b.value'))} FROM series16 a JOIN series16 b USING (element, timepoint) WHERE a.idx >= b.idx AND element BETWEEN 2 AND 7 GROUP BY ALL""")
+def pipeline_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration with a source of tables, a named parcellation and a marker, run into a store."""
+    with fx.store_folder(spark) as folder:
+        two = fx.signal(spark, d).select(F.concat(F.lit("sub-"), F.floor(F.col("element") / 2).cast("string")).alias("subject"), F.concat(F.lit("ses-"), (F.col("element") % 2).cast("string")).alias("session"), "timepoint", "voxel", "value")
+        two.write.parquet(f"{folder}/bold.parquet")
+        fx.parcels(spark, 4).write.parquet(f"{folder}/parcels.parquet")
+        config = {
+            "data": [{"kind": "parcellation", "name": "sixteen", "path": f"{folder}/parcels.parquet"}],
+            "source": {"kind": "tables", "tables": {"BOLD": f"{folder}/bold.parquet"}, "keys": ["subject", "session"]},
+            "markers": [{"kind": "functional_connectivity", "name": "fc", "regions": "parcels", "dims": {"parcels": "sixteen"}}],
+            "storage": {"uri": f"{folder}/out", "force_float32": False},
+            "elements": ["sub-1", ["sub-2", "ses-0"], ["ses-1", "sub-2"], "sub-3"],
+        }
+        return rounded(cut(pipeline.run(spark, config).read("BOLD_fc_functional_connectivity")))
+
+
 # Voxel maps.
 
 _TSNR = "tsnr AS (SELECT element, voxel, avg(value) / nullif(stddev_pop(value), 0) AS v FROM signal GROUP BY ALL)"
@@ -341,6 +414,38 @@ for _n in (7, 27):
     query(f"reho{_n}", _reho_sql(_n))(lambda spark, d, n=_n: rounded(aggregate.parcel_aggregation(reho.reho(fx.signal(spark, d), fx.grid(spark), n), fx.parcels(spark, 4)).drop("timepoint")))
 
 
+# The same measures over spheres and maps.
+
+_IN_SPHERES = f"(SELECT voxel, seed FROM grid g JOIN seeds s ON {_D2} <= 1)"
+_IN_MAPS = "(SELECT voxel, CASE WHEN voxel < 32 THEN 'm1' ELSE 'm2' END AS seed, (1.0 + voxel % 4) AS w FROM grid)"
+
+
+def _over(value: str, maps: bool) -> str:
+    return R(f"sum({value} * w) / sum(w * w)" if maps else f"avg({value})")
+
+
+def _regions(spark: SparkSession, maps: bool) -> tuple[str, dict]:
+    return ("maps", {"maps": fx.maps(spark), "grid": fx.grid(spark)}) if maps else ("spheres", {"grid": fx.grid(spark), "seeds": fx.seeds(spark), "radius": 1.0})
+
+
+def _marked(spark: SparkSession, d: str, marker: Callable[..., markers.Marker], feature: str, maps: bool, **params) -> DataFrame:
+    """A marker's feature over spheres or maps."""
+    kind, data = _regions(spark, maps)
+    how = {k: data.pop(k) for k in ("radius",) if k in data}
+    return rounded(marker("m", kind, data, **how, **params).features(fx.signal(spark, d))[feature][1])
+
+
+for _maps in (False, True):
+    _of, _in = ("maps", _IN_MAPS) if _maps else ("spheres", _IN_SPHERES)
+    for _name, _value in (("alff", "num / sqrt(n)"), ("falff", "CASE WHEN den > 1e-6 THEN num / den ELSE 0 END")):
+        query(f"{_name}_{_of}", f"{w('signal', 'grid', 'seeds')}, {_DFT} SELECT element, seed AS col, {_over(_value, _maps)} FROM alff JOIN {_in} q USING (voxel) GROUP BY ALL")(
+            lambda spark, d, name=_name, maps=_maps: _marked(spark, d, markers.alff, name, maps)
+        )
+    query(f"reho7_{_of}", _reho_sql(7).replace("voxel)) v", "voxel)) v").replace("SELECT element, label AS col, round(avg(coalesce(kw, 1)), 6) + 0.0 AS value", f"SELECT element, seed AS col, {_over('coalesce(kw, 1)', _maps)}").replace("JOIN parc16 USING (voxel) GROUP BY ALL", f"JOIN {_in} q USING (voxel) GROUP BY ALL").replace(w("signal", "grid", "parc16").rstrip(), w("signal", "grid", "seeds").rstrip()))(
+        lambda spark, d, maps=_maps: _marked(spark, d, markers.regional_homogeneity, "reho", maps, nneigh=7)
+    )
+
+
 # Complexity.
 
 def _pe_sql(m: int, weight: str) -> str:
@@ -360,7 +465,22 @@ _SE = f"""{_S8}, e AS (SELECT element, col, timepoint, value AS v0, lead(value,
 m AS (SELECT element, a.col AS col, count(*) AS b, count(*) FILTER (abs(a.v2 - b.v2) <= a.r) AS a FROM e a JOIN e b USING (element, col) WHERE a.timepoint <> b.timepoint AND a.v2 IS NOT NULL AND b.v2 IS NOT NULL AND abs(a.v0 - b.v0) <= a.r AND abs(a.v1 - b.v1) <= a.r GROUP BY ALL)
 SELECT element, col, {R('-ln(a / CAST(b AS DOUBLE))')} FROM m"""
 query("sample_entropy", _SE)(lambda spark, d: rounded(complexity.complexity(_series(spark, d, 8), "sample_entropy", m=2)))
-for _name, _kind in (("range_entropy", "range_entropy"), ("range_entropy_auc", "range_entropy_auc"), ("multiscale_entropy_auc", "multiscale_entropy_auc"), ("hurst_dfa", "hurst_exponent")):
+
+def _range_sql(tolerances: str) -> str:
+    """Matches of segments of two and of three values for each tolerance; distances are (max - min) / (max + min)."""
+    spread = lambda n: f"(list_max([{n}]) - list_min([{n}])) / nullif(list_max([{n}]) + list_min([{n}]), 0)"
+    two, three = (", ".join(f"abs(a.v{k} - b.v{k})" for k in range(n)) for n in (2, 3))
+    return f"""{_S8}, e AS (SELECT element, col, timepoint, value AS v0, lead(value, 1) OVER w AS v1, lead(value, 2) OVER w AS v2 FROM series8 WINDOW w AS (PARTITION BY element, col ORDER BY timepoint)),
+d AS (SELECT element, a.col AS col, coalesce({spread(two)}, 0) AS d2, coalesce({spread(three)}, 0) AS d3 FROM e a JOIN e b USING (element, col) WHERE a.timepoint <> b.timepoint AND a.v2 IS NOT NULL AND b.v2 IS NOT NULL),
+m AS (SELECT element, col, tol, count(*) FILTER (d2 <= tol) AS b, count(*) FILTER (d3 <= tol) AS a FROM d CROSS JOIN ({tolerances}) t(tol) GROUP BY ALL),
+h AS (SELECT element, col, tol, CASE WHEN a > 0 AND b > 0 THEN -ln(a / CAST(b AS DOUBLE)) END AS h FROM m)"""
+
+
+query("range_entropy", f"{_range_sql('VALUES (0.5::DOUBLE)')} SELECT element, col, coalesce(round(h, 6) + 0.0, 'nan'::DOUBLE) AS value FROM h")(lambda spark, d: rounded(complexity.complexity(_series(spark, d, 8), "range_entropy")))
+query("range_entropy_auc", f"{_range_sql('SELECT k / 10.0::DOUBLE FROM range(10) r(k)')} SELECT element, col, {R('sum(coalesce(h, 0) * CASE WHEN tol = 0 OR tol = 0.9 THEN 0.5 ELSE 1 END) / 10')} FROM h GROUP BY ALL")(
+    lambda spark, d: rounded(complexity.complexity(_series(spark, d, 8), "range_entropy_auc"))
+)
+for _name, _kind in (("multiscale_entropy_auc", "multiscale_entropy_auc"), ("hurst_dfa", "hurst_exponent")):
     query(_name)(lambda spark, d, kind=_kind: rounded(complexity.complexity(_series(spark, d, 8), kind)))
 
 
@@ -381,7 +501,18 @@ def zscore(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prep.standardise(fx.signal(spark, d))).select("element", "timepoint", "voxel", "value")
 
 
-query("band_pass")(lambda spark, d: rounded(prep.temporal_filter(fx.signal(spark, d), low_pass=0.2, high_pass=0.02)).select("element", "timepoint", "voxel", "value"))
+_GAIN = "CASE WHEN k = 0 THEN 0 ELSE 1 / (1 + (f / 0.2) ** 10) / (1 + (0.02 / f) ** 10) END"
+
+
+@query("band_pass", w("signal") + f""", d AS (SELECT element, timepoint, voxel, value - (regr_intercept(value, timepoint) OVER v + regr_slope(value, timepoint) OVER v * timepoint) AS value, count(*) OVER v AS n FROM signal WHERE voxel < 16 WINDOW v AS (PARTITION BY element, voxel)),
+s AS (SELECT element, voxel, n, k, least(k, n - k) / CAST(n AS DOUBLE) AS f, sum(value * cos(2 * pi() * ((k * timepoint) % n) / n)) AS re, sum(value * sin(2 * pi() * ((k * timepoint) % n) / n)) AS im FROM (SELECT *, unnest(range(n)) AS k FROM d) GROUP BY ALL),
+g AS (SELECT *, {_GAIN} AS gain FROM s),
+b AS (SELECT element, voxel, t AS timepoint, sum(gain * (re * cos(2 * pi() * ((k * t) % n) / n) + im * sin(2 * pi() * ((k * t) % n) / n))) / any_value(n) AS value FROM (SELECT *, unnest(range(n)) AS t FROM g) GROUP BY ALL)
+SELECT element, CAST(timepoint AS INTEGER) AS timepoint, voxel, round((value - avg(value) OVER v) / stddev_samp(value) OVER v, 5) + 0.0 AS value FROM b WINDOW v AS (PARTITION BY element, voxel)""")
+def band_pass(spark: SparkSession, d: str) -> DataFrame:
+    found = prep.temporal_filter(fx.signal(spark, d).where("voxel < 16"), low_pass=0.2, high_pass=0.02)
+    return found.select("element", "timepoint", "voxel", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
 
 _CONF = w("ev", "confounds")
 _PLAN = {"select": ["csf", "csf_derivative1", "csf_power2", "csf_derivative1_power2"], "derivatives": ["csf_derivative1"], "squares": ["csf_power2", "csf_derivative1_power2"]}
@@ -625,7 +756,14 @@ query("clustering_coef_wu", f"""{_T8}, e AS (SELECT element, "row" AS i, col AS
 t AS (SELECT element, a.i AS node, sum(a.c * b.c * d.c) AS t FROM e a JOIN e b USING (element) JOIN e d USING (element) WHERE a.j = b.i AND b.j = d.i AND d.j = a.i GROUP BY ALL),
 k AS (SELECT element, "row" AS node, count(*) FILTER (value <> 0) AS k FROM thin8 GROUP BY ALL)
 SELECT element, node, {R("CASE WHEN k < 2 THEN 0 ELSE coalesce(t, 0) / (k * (k - 1)) END")} FROM k LEFT JOIN t USING (element, node)""")(lambda spark, d: rounded(onthefly.read_transform(_thin8(spark, d), "clustering_coef_wu")))
-query("eigenvector_centrality")(lambda spark, d: rounded(onthefly.read_transform(_full8(spark, d), "eigenvector_centrality_und")))
+query("eigenvector_centrality", w("signal", "parc8", "series8", "fc8", "full8").replace("WITH ", "WITH RECURSIVE ") + f""", a AS (SELECT element, list(value ORDER BY "row", col) AS a, count(DISTINCT "row") AS k, list(DISTINCT "row" ORDER BY "row") AS names FROM full8 GROUP BY element),
+shifted AS (SELECT element, k, names, list_transform(range(k * k), lambda i: a[i + 1] + CASE WHEN i // k = i % k THEN k ELSE 0 END) AS a FROM a),
+p AS (SELECT element, k, names, a, 0 AS step FROM shifted UNION ALL SELECT element, k, names,
+    list_transform(range(k * k), lambda i: list_sum(list_transform(range(k), lambda m: a[(i // k) * k + m + 1] * a[m * k + i % k + 1])) / list_max(list_transform(a, lambda x: abs(x)))), step + 1 FROM p WHERE step < 12),
+v AS (SELECT element, names, unnest(range(k)) AS i, a, k FROM p WHERE step = 12),
+best AS (SELECT element, any_value(k) AS k, any_value(names) AS names, any_value(a) AS a, arg_max(i, a[i * k + i + 1]) AS c FROM v GROUP BY element),
+e AS (SELECT element, names[i + 1] AS node, a[i * k + c + 1] AS x FROM (SELECT *, unnest(range(k)) AS i FROM best))
+SELECT element, node, {R('abs(x) / sqrt(sum(x * x) OVER (PARTITION BY element))')} FROM e""")(lambda spark, d: rounded(onthefly.read_transform(_full8(spark, d), "eigenvector_centrality_und")))
 
 _EIGEN = """WITH l AS (SELECT l_suppkey AS subject, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS ev, l_extendedprice AS value FROM lineitem),
 size AS (SELECT l_suppkey AS subject, sum(l_quantity) AS area, sum(l_tax) + 1 AS volume FROM lineitem GROUP BY ALL) """
