@@ -50,6 +50,7 @@ def counted(column: pa.Array) -> np.ndarray:
     letters = np.where(_LETTER[raw], _FOLD[raw], 32).astype(np.uint32)
     row = np.repeat(np.arange(n, dtype=np.int64), np.diff(np.r_[-1, blanks]))
     a, b, c = np.r_[np.uint32(32), letters[:-1]], letters, np.r_[letters[1:], np.uint32(32)]
+    c[blanks] = 32  # what follows a row's end is another row
     out = np.zeros(n * DIMENSIONS)
     hashed = lambda code: ((code * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(DIMENSIONS)
     three, two = b != 32, (b != 32) | (c != 32)

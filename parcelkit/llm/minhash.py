@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, durable, join_sized, text_of
+from .common import LOWER, UPPER, arrow_batches, durable, join_sized, text_of
 from .graph import components
 from .shingles import Minima, sets_of
 from .words import mix, slices
@@ -301,3 +301,26 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     again = some.select("text").mapInArrow(run, "digest binary, shingles binary")
     return again.join(chosen.select("digest", "node", "planes", "n"), "digest").dropDuplicates(["node", "digest"])
+
+
+#: The links of all pairs that share a shingle, on full sets, and what each document reaches; doc_id is a key.
+ORACLE_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM texts)
+), hashed AS (SELECT doc_id, md5_number(s) AS s FROM sets
+), sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, ' ' ORDER BY s)) AS digest FROM hashed GROUP BY doc_id
+), classes AS (SELECT digest, min(doc_id) AS node, any_value(n) AS n FROM sizes GROUP BY digest
+), few AS (SELECT node, s, n FROM classes JOIN hashed ON doc_id = node
+), pairs AS (
+  SELECT a.node AS a, b.node AS b FROM few a JOIN few b ON a.s = b.s AND a.node < b.node AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+), near AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (SELECT DISTINCT u, u AS v FROM near UNION SELECT reach.u, near.v FROM reach JOIN near ON near.u = reach.v
+), part AS (SELECT u AS node, min(v) AS component FROM reach GROUP BY u
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(p.component, c.node, d.doc_id) AS component_id,
+  d.doc_id IS NOT DISTINCT FROM coalesce(p.component, c.node, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN classes c ON c.digest = s.digest LEFT JOIN part p ON p.node = c.node
+"""

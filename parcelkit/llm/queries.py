@@ -33,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_sharding": sharding.ORACLE_SQL,
+        "op8_minhash_near_dedup": minhash.ORACLE_SQL,
         "op10_quality_rules": quality.ORACLE_SQL,
     }

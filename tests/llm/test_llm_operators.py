@@ -7,13 +7,16 @@ import re
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelkit.llm import bpe_codec, common, exact_dedup, graph, language_id, lm_scoring, minhash, packing, quality, queries, sharding, token_counts, tokenizer, toxicity
+from parcelkit.llm import bpe_codec, common, deobfuscate, exact_dedup, graph, language_id, lm_scoring, minhash, packing, quality, queries, sharding, token_counts, tokenizer, toxicity
 from parcelkit.llm.common import documents
+from parcelkit.llm.words import mix
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -384,6 +387,47 @@ def test_a_language_without_cutoffs_does_not_take_the_shared_ones(spark):
     assert quality.keep_good(docs, labels).where("lang = 'xx'").count() == 20
 
 
+def test_verdicts_are_those_of_cutoffs_tested_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 9999, n)]
+    rows = []
+    for k in range(4200):
+        w = words(40)
+        if k % 40 == 0:
+            w = w + ["#"] * int(rng.integers(1, 30))
+        if k % 30 == 0:
+            w = w[:8] * int(rng.integers(1, 2)) + w
+        if k % 50 == 0:
+            w = [w[0]] * int(rng.integers(1, 9)) + w
+        text = "\n".join([" ".join(w)] * (2 if k % 70 == 0 else 1))
+        rows.append((k, text, ["en", None, "de"][0 if k < 3900 else 1 if k < 4000 else 2], int(k % 9 != 0 and k % 40 != 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, q int")
+    got = {r["doc_id"]: r for r in quality.quality(docs, docs.selectExpr("doc_id", "q AS quality")).collect()}
+
+    def rates(text):
+        n_words, chars, symbols, dup, repeat = measures(text)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n = max(1, n_words)
+        return {"symbol_rate": symbols / max(1, chars), "stutter_rate": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "dup_line_rate": dup / max(1, len(lines)), "repeat_rate": repeat / n, "mean_word": chars / n}
+
+    found = {d: rates(t) for d, t, *_ in rows}
+    failed = {d: got[d]["base_failed"] for d in got}
+    good = {lang: [d for d, _, x, q in rows if q and x == lang and not failed[d]] for lang in ("en", "de", None)}
+    tests, chosen = 3 * len(quality.RULES), {}
+    for lang, ids in good.items():
+        for rule, cuts in quality.RULES.items():
+            for c in cuts:
+                k, n, p = sum(found[d][rule] > c for d in ids), len(ids), quality.RATE / len(quality.RULES)
+                if not (k < n * p and sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) <= quality.LEVEL / tests):
+                    break
+                chosen[lang, rule] = c
+    assert any(lang == "en" for lang, _ in chosen) and not any(lang != "en" for lang, _ in chosen)
+    for d, _, lang, _ in rows:
+        assert got[d]["kept"] == (not failed[d] and all(found[d][rule] <= chosen.get((lang, rule), math.inf) for rule in quality.RULES)), d
+    assert 0 < sum(not r["kept"] and not r["base_failed"] for r in got.values())
+
+
 def test_binomial_tails(spark):
     cases = [(0, 10), (3, 50), (40, 1000), (0, 1), (30, 1000)]
     df = spark.createDataFrame(cases, "k long, n long").withColumn("p", quality.binomial_tail(F.col("k"), F.col("n"), 0.05))
@@ -411,5 +455,77 @@ def test_stages_take_odd_rows_and_empty_tables(spark, docs, sf_dir):
         assert stage(spark, empty(docs), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    df, found = queries.queries()[name](spark, sf_dir), con.sql(queries.oracle_sql()[name])
+    columns = sorted(found.columns)
+    assert sorted(df.columns) == columns
+    place = [found.columns.index(c) for c in columns]
+    expected = collections.Counter(tuple(r[k] for k in place) for r in found.fetchall())
+    assert expected and by_id(df.select(columns)) == expected
+
+
+@pytest.mark.parametrize("run, columns", [
+    (lambda d, _: token_counts.token_counts(d), ["n_bytes", "n_tokens", "over_limit"]),
+    (lambda d, _: bpe_codec.codec_digests(d, leaf=2), ["n_tokens", "ids_sha256", "decoded_sha256"]),
+    (lambda d, _: lm_scoring.lm_scores(d), ["n_tokens"]),
+    (lambda d, labels: toxicity.toxicity(d, labels), ["score", "predicted"]),
+    (lambda d, _: language_id.language_id(d), ["lang_pred", "score"]),
+    (lambda d, _: packing.pack(d), ["doc_tokens"]),
+    (lambda d, labels: quality.quality(d, labels), ["n_words", "word_chars", "base_failed", "kept"]),
+])
+def test_a_null_id_is_a_document(spark, docs, labels, rows, run, columns):
+    got = run(with_null_id(spark, docs), labels).where("doc_id IS NULL OR doc_id = 13").collect()
+    assert {r["doc_id"] for r in got} == {None, 13}
+    null, same = ({tuple(r[c] for c in columns) for r in got if (r["doc_id"] is None) == own} for own in (True, False))
+    assert null == same
+
+
+def test_stages_take_a_null_id(spark, docs, sf_dir):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, with_null_id(spark, docs), sf_dir).count() > 0, name
+
+
+def test_languages_are_those_of_plain_counting(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    got = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
+    for d, text in docs.select("doc_id", "text").collect()[:60]:
+        raw = [(b + 32 if 65 <= b <= 90 else b) if letter(b) else 32 for b in (text or "").encode()]
+        counts, padded = np.zeros(language_id.DIMENSIONS, np.float32), [32, *raw, 32, 32]
+        for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+            for code in ([a << 16 | b << 8 | c] if b != 32 else []) + ([0x9000000 | b << 8 | c] if b != 32 or c != 32 else []):
+                counts[(code * 2654435761 % 2**32 >> 15) % language_id.DIMENSIONS] += 1
+        names, chance = model.predict(language_id.scaled(counts[None]))
+        if any(c.isalpha() for c in text or ""):
+            assert got[d]["lang_pred"] == names[0] and got[d]["score"] == pytest.approx(chance[0], abs=1e-4)
+
+
+def test_toxicity_is_that_of_plain_counting(spark, sf_dir):
+    folder = str(Path(sf_dir).parent / "sf0.01")
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    channel, buckets, weights = toxicity.learn(docs, labels)
+    decoder, place = deobfuscate.Channel(channel), {b: k for k, b in enumerate(buckets.tolist())}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    letter = re.compile(rb"[0-9a-z\x80-\xff]")
+    for d, text in docs.select("doc_id", "text").collect()[:80]:
+        text, shown = text or "", pa.array([text or ""])
+        if deobfuscate.suspicious(shown)[0] or deobfuscate.ends_open(shown)[0]:
+            text = f"{text} \n {deobfuscate.restored(text, decoder)}"
+        folded = [c if letter.match(bytes([c])) else 32 for c in bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())]
+        drawn = [32] + [c for k, c in enumerate([*folded, 32]) if k == 0 or c != folded[k - 1] or c >= 128]
+        present = np.zeros(len(buckets))
+        for k in range(len(drawn) - 4):
+            packed = sum(c << 8 * (4 - i) for i, c in enumerate(drawn[k : k + 5]))
+            bucket = int(mix(np.array([packed], np.uint64))[0] % np.uint64(toxicity.BUCKETS))
+            if bucket in place:
+                present[place[bucket]] = 1
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-(present @ weights[:-1] + weights[-1]))), abs=1e-4), d
+
+
 def test_ten_queries():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
