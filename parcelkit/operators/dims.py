@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelkit.model import key_columns, key_schema
 from parcelkit.sources import readers
 
 KINDS = ("parcellation", "coordinates", "maps", "mask", "grid")
@@ -240,6 +243,51 @@ def warp(values: DataFrame, lookup: DataFrame) -> DataFrame:
     return values.join(lookup, "voxel").drop("voxel").withColumnRenamed("target", "voxel")
 
 
+#: Voxels of a grid that values are resampled to, at most; it goes to every worker, 28 bytes a voxel.
+MOST_VOXELS = 4_000_000
+
+
+def resample(values: DataFrame, grid: DataFrame, target: DataFrame, affine: Sequence[Sequence[float]], method: str | None = None, keys: Sequence[str] = ("element",)) -> DataFrame:
+    """Values (keys, timepoint, voxel, value) on another grid, where ``affine`` takes the target's places to the source's.
+
+    ``method`` is nearest or continuous (linear between the eight cells around); by default it is found
+    by interpolation(), one job. Both grids have whole-numbered places. Places outside the source, or
+    beside a missing value, are left out. One frame goes to one task.
+    """
+    method = method or interpolation(values)
+    if method not in ("nearest", "continuous"):
+        raise ValueError(f"no such interpolation: {method}")
+    if target.count() > MOST_VOXELS:
+        raise ValueError(f"a grid to resample to has at most {MOST_VOXELS} voxels")
+    wanted = transform_coordinates(target.select("voxel", *"xyz"), affine).toArrow()  # sent with the kernel, its size is checked
+    ids, places = wanted.column("voxel").to_numpy(), np.stack([wanted.column(c).to_numpy() for c in "xyz"])
+    placed = values.join(grid.select("voxel", *[F.col(c).cast("int").alias(c) for c in "xyz"]), "voxel")
+    given = placed.select(*keys, "timepoint", "x", "y", "z", F.col("value").cast("double").alias("value"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cells = [table.column(c).to_numpy() for c in "xyz"]
+        low = np.array([c.min() for c in cells])
+        volume = np.full([int(c.max() - m) + 3 for c, m in zip(cells, low, strict=True)], np.nan)  # a margin of missing cells
+        volume[tuple(c - m + 1 for c, m in zip(cells, low, strict=True))] = table.column("value").to_numpy(zero_copy_only=False)
+        at = places - low[:, None] + 1
+        top = np.array(volume.shape)[:, None] - 1
+        if method == "nearest":
+            out = volume[tuple(np.clip(np.floor(at + 0.5).astype(int), 0, top))]
+        else:
+            base = np.clip(np.floor(at).astype(int), 0, top)
+            part, out = np.clip(at - base, 0, 1), np.zeros(at.shape[1])
+            for corner in np.ndindex(2, 2, 2):
+                step = np.array(corner)[:, None]
+                weight = np.prod(np.where(step, part, 1 - part), axis=0)
+                near = volume[tuple(np.minimum(base + step, top))]
+                out += np.where(weight > 0, weight * near, 0)
+            out[((at < 0) | (at > top)).any(axis=0)] = np.nan
+        there = ~np.isnan(out)
+        return pa.table(key_columns(key, table.schema, int(there.sum())) | {"voxel": pa.array(ids[there]), "value": pa.array(out[there])})
+
+    return given.groupBy(*keys, "timepoint").applyInArrow(run, f"{key_schema(given, [*keys, 'timepoint'])}, voxel int, value double")
+
+
 def warper_for(specs: Sequence[dict], source: str, target: str) -> dict:
     """The one transform from source to target."""
     found = [s for s in specs if s["src"] == source and s["dst"] == target]

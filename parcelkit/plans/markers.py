@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelkit.operators import aggregate, complexity, connectivity, dims, reho, spectral
+from parcelkit.operators import aggregate, complexity, connectivity, dims, reho, shapes, spectral
 
 from .registry import register
 
@@ -30,6 +30,7 @@ class Marker:
     on: Sequence[str] = ("BOLD",)
     params: dict = field(default_factory=dict)
     dependencies: Sequence[str] = ()
+    programs: Sequence[str] = ()
 
     def features(self, signal: DataFrame, keys: Keys = ("element",)) -> dict[str, tuple[str, DataFrame]]:
         out = self.compute(signal, keys)
@@ -168,3 +169,18 @@ def regional_homogeneity(name: str, regions: str, dims: dict, nneigh: int = 27,
 def complexity_of(name: str, parcels: DataFrame | str, kind: str, on: Sequence[str] = ("BOLD",), **params) -> Marker:
     of = Regions("parcels", {"parcels": parcels})
     return Marker(name, {"complexity": "vector"}, lambda s, keys: {"complexity": complexity.complexity(of.frames(s, keys), kind, keys, **params)}, on, _described(parcels=parcels, kind=kind, **params))
+
+
+@register("marker")
+def shape_spectrum(name: str, vertices: DataFrame | str, n: int = 50, on: Sequence[str] = ("FreeSurfer",)) -> Marker:
+    """Eigenvalues of surfaces: the signal has the triangles (a, b, c) of each element, ``vertices`` their places (a table or its path)."""
+
+    def compute(s: DataFrame, keys: Keys) -> dict[str, DataFrame]:
+        points = vertices if isinstance(vertices, DataFrame) else s.sparkSession.read.parquet(vertices)
+        found = shapes.shape_spectrum(points, s, n, keys)
+        sizes = found.select(*keys, "area", "volume").distinct()
+        values = found.select(*keys, F.concat(F.lit("ev"), F.col("ev").cast("string")).alias("row"), F.lit("surface").alias("col"), "value")
+        each = lambda c: sizes.select(*keys, F.lit(c).alias("col"), F.lit(0).alias("col_idx"), F.col(c).alias("value"))
+        return {"eigenvalues": values, "areas": each("area"), "volumes": each("volume")}
+
+    return Marker(name, {"eigenvalues": "scalar_table", "areas": "vector", "volumes": "vector"}, compute, on, _described(vertices=vertices, n=n))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib.util
 import logging
+import shutil
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelkit.model import DATA_TYPES, KINDS
 from parcelkit.operators import dims
-from parcelkit.sources import datasets  # noqa: F401  registers the sources
+from parcelkit.sources import datasets
 from parcelkit.sources import elements as element_tables
 from parcelkit.sources.store import FeatureStore
 
@@ -51,6 +52,8 @@ class MarkerCollection:
         for m in self.markers:
             if missing := [d for d in m.dependencies if importlib.util.find_spec(d) is None]:
                 raise ImportError(f"{m.name} needs {missing}")
+            if missing := [p for p in m.programs if shutil.which(p) is None]:
+                raise ImportError(f"{m.name} needs the programs {missing}")
             for kind in m.kinds.values():
                 if kind not in KINDS or self.store is not None and kind not in self.store.kinds:
                     raise ValueError(f"{kind} of {m.name} can't be stored")
@@ -136,7 +139,11 @@ def run(spark: SparkSession, config: dict, selectors: Sequence | None = None, ov
     """
     for spec in config.get("data", []):
         dims.register_data(spec["kind"], spec["name"], spec["path"], True, labels=spec.get("labels"))
-    source = registry.build("source", config["source"] | {"spark": spark})
+    with datasets.opened(registry.build("source", config["source"] | {"spark": spark})) as source:
+        return _run(spark, config, source, selectors, overwrite)
+
+
+def _run(spark: SparkSession, config: dict, source: datasets.Source, selectors: Sequence | None, overwrite: bool) -> FeatureStore:
     found = source.elements()
     keys = found.columns
     selectors = selectors if selectors is not None else config.get("elements")
@@ -168,7 +175,9 @@ def collect(spark: SparkSession, uri: str, parts: Sequence[str], keys: Sequence[
 
 
 def list_elements(spark: SparkSession, config: dict, selectors: Sequence | None = None) -> DataFrame:
-    found = registry.build("source", config["source"] | {"spark": spark}).elements()
+    source = registry.build("source", config["source"] | {"spark": spark})
+    getattr(source, "open", lambda: None)()
+    found = source.elements()
     return element_tables.as_lines(element_tables.select(found, selectors) if selectors else found)
 
 

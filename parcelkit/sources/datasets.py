@@ -5,7 +5,11 @@ Elements are the files that are there, limited to the tasks and the like that ar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import subprocess
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import cached_property
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +17,32 @@ from pyspark.sql import functions as F
 from parcelkit.plans.registry import register
 
 from . import readers
-from .patterns import PatternSource, list_files
+from .patterns import PatternSource, list_files, validate
+
+class Source(Protocol):
+    """What a pipeline needs: the elements, and by type what there is of them.
+
+    open() is called before anything is read and close() at the end, also of a run that failed.
+    """
+
+    def elements(self) -> DataFrame: ...
+
+    def signals(self) -> dict[str, DataFrame]: ...
+
+    def open(self) -> None: ...
+
+    def close(self) -> None: ...
+
+
+@contextmanager
+def opened(source: Source) -> Iterator[Source]:
+    """The source between its open() and close(), which it need not have."""
+    getattr(source, "open", lambda: None)()
+    try:
+        yield source
+    finally:
+        getattr(source, "close", lambda: None)()
+
 
 #: The standard space of the preprocessed sets.
 STANDARD = "MNI152NLin2009cAsym"
@@ -23,12 +52,27 @@ class FolderSource:
     """A folder whose files fit patterns: elements, and the signals and what belongs to them.
 
     ``limits`` maps a key to the values it may have. A type's signals come with the keys as
-    columns; a nested pattern (mask, confounds) is a type of its own, called type.name.
+    columns; a nested pattern (mask, confounds) is a type of its own, called type.name. ``fetch`` and
+    ``drop`` are commands, run with the folder, that bring a set of files there and take it away.
     """
 
-    def __init__(self, spark: SparkSession, datadir: str, types: Sequence[str], patterns: dict, replacements: Sequence[str], limits: dict[str, Sequence[str]] | None = None, partial_pattern_ok: bool = False):
-        self.spark, self.folder = spark, datadir
-        self.source = PatternSource(types, {t: patterns[t] for t in types}, replacements, list_files(spark, datadir), partial_pattern_ok, limits)
+    def __init__(self, spark: SparkSession, datadir: str, types: Sequence[str], patterns: dict, replacements: Sequence[str], limits: dict[str, Sequence[str]] | None = None, partial_pattern_ok: bool = False, fetch: Sequence[str] | None = None, drop: Sequence[str] | None = None):
+        validate({t: patterns[t] for t in types}, replacements, types)
+        self.spark, self.folder, self.fetch, self.drop = spark, datadir, fetch, drop
+        self.how = types, {t: patterns[t] for t in types}, replacements, partial_pattern_ok, limits
+
+    def open(self) -> None:
+        if self.fetch:
+            subprocess.run([*self.fetch, self.folder], check=True)
+
+    def close(self) -> None:
+        if self.drop:
+            subprocess.run([*self.drop, self.folder], check=True)
+
+    @cached_property
+    def source(self) -> PatternSource:
+        types, patterns, replacements, partial, limits = self.how
+        return PatternSource(types, patterns, replacements, list_files(self.spark, self.folder), partial, limits)
 
     def elements(self) -> DataFrame:
         return self.source.elements()

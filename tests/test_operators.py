@@ -589,3 +589,101 @@ def test_data_sets_find_their_files(spark, tmp_path):
     assert [tuple(r) for r in known.build("source", {"kind": "ukb_vbm", "spark": spark, "datadir": str(tmp_path / "v")}).elements().collect()] == [("x", "2")]
     with pytest.raises(ValueError):
         datasets.aomic_id1000(spark, str(tmp_path / "v"), ["BOLD"]).elements()
+
+
+def sphere_mesh(times):
+    """An octahedron, split and drawn to the unit sphere."""
+    points = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    faces = [(a, b, c) if s > 0 else (b, a, c) for a, x in ((0, 1), (1, -1)) for b, y in ((2, 1), (3, -1)) for c, z in ((4, 1), (5, -1)) for s in (x * y * z,)]
+    points = [np.array(p, float) for p in points]
+    for _ in range(times):
+        middle, split = {}, []
+        for a, b, c in faces:
+            m = []
+            for p, q in ((a, b), (b, c), (c, a)):
+                key = (min(p, q), max(p, q))
+                if key not in middle:
+                    v = points[p] + points[q]
+                    middle[key] = len(points)
+                    points.append(v / np.linalg.norm(v))
+                m.append(middle[key])
+            split += [(a, m[0], m[2]), (b, m[1], m[0]), (c, m[2], m[1]), tuple(m)]
+        faces = split
+    return np.array(points), np.array(faces)
+
+
+@pytest.mark.parametrize("times, near", [(3, 0.1), (4, 0.03)])
+def test_spectrum_of_a_sphere(times, near, monkeypatch):
+    from parcelkit.operators import shapes
+
+    mesh = shapes.Laplacian(*sphere_mesh(times))
+    assert (mesh.n > shapes.DENSE) == (times > 3)
+    values = mesh.smallest(16)
+    assert np.allclose(values, [0] + [2] * 3 + [6] * 5 + [12] * 7, rtol=near, atol=1e-5)
+    monkeypatch.setattr(shapes, "DENSE", 0 if times == 3 else 10**6)
+    assert np.allclose(mesh.smallest(16), values, rtol=1e-5, atol=1e-5)
+    assert mesh.area == pytest.approx(4 * math.pi, rel=0.02) and mesh.volume == pytest.approx(4 / 3 * math.pi, rel=0.03)
+
+
+def test_spectra_of_meshes(spark):
+    from parcelkit.operators import shapes
+    from parcelkit.plans.markers import shape_spectrum
+
+    points, faces = sphere_mesh(2)
+    vertices = spark.createDataFrame([(e, 10 + k, *(float(r * v) for v in p)) for e, r in (("a", 1), ("b", 2)) for k, p in enumerate(points)] + [("c", 1, 0.0, 0.0, 0.0)], "element string, vertex int, x double, y double, z double")
+    triangles = spark.createDataFrame([(e, *(int(10 + v) for v in f)) for e in "ab" for f in faces], "element string, a int, b int, c int")
+    got = {(r["element"], r["ev"]): r for r in shapes.shape_spectrum(vertices, triangles, 5).collect()}
+    assert len(got) == 10 and all(got["b", k]["value"] == pytest.approx(got["a", k]["value"] / 4, abs=1e-9) for k in range(1, 6))
+    assert got["b", 1]["area"] == pytest.approx(4 * got["a", 1]["area"])
+    found = shape_spectrum("s", vertices, 5).features(triangles)
+    assert {f: kind for f, (kind, _) in found.items()} == {"eigenvalues": "scalar_table", "areas": "vector", "volumes": "vector"} and found["areas"][1].count() == 2
+
+
+def test_resampling(spark):
+    shape = (4, 3, 2)
+    cells = np.indices(shape).reshape(3, -1)
+    grid = spark.createDataFrame([(k, *map(int, c)) for k, c in enumerate(cells.T)], "voxel int, x int, y int, z int")
+    plane = lambda x, y, z: 2.0 * x - y + 3 * z + 1  # noqa: E731  linear, so linear interpolation is exact
+    values = spark.createDataFrame([(0, 0, k, plane(*map(float, c))) for k, c in enumerate(cells.T)], "element int, timepoint int, voxel int, value double")
+    half = [[0.5, 0, 0, 0.25], [0, 1, 0, 0], [0, 0, 1, 0]]
+    got = {r["voxel"]: r["value"] for r in dims.resample(values, grid, grid, half, "continuous").collect()}
+    assert len(got) == 24 and all(got[k] == pytest.approx(plane(0.5 * c[0] + 0.25, c[1], c[2])) for k, c in enumerate(cells.T))
+    near = {r["voxel"]: r["value"] for r in dims.resample(values, grid, grid, half, "nearest").collect()}
+    assert all(near[k] == pytest.approx(plane(math.floor(0.5 * c[0] + 0.75), c[1], c[2])) for k, c in enumerate(cells.T))
+    away = dims.resample(values, grid, grid, [[1, 0, 0, 2], [0, 1, 0, 0], [0, 0, 1, 0]], "continuous").collect()
+    assert {r["voxel"] for r in away} == {k for k, c in enumerate(cells.T) if c[0] < 2}
+    ones = values.withColumn("value", (F.col("voxel") % 2).cast("double"))
+    assert dims.interpolation(ones) == "nearest" and dims.interpolation(values) == "continuous"
+    with pytest.raises(ValueError):
+        dims.resample(values, grid, grid, half, "cubic")
+
+
+def test_sources_are_opened_and_closed(spark, tmp_path, sf_dir):
+    seen = []
+
+    @registry.register("source", "watched")
+    class Watched:
+        def __init__(self, spark):
+            self.spark = spark
+
+        def open(self):
+            seen.append("open")
+
+        def close(self):
+            seen.append("close")
+
+        def elements(self):
+            return self.signals()["BOLD"].select("element").distinct()
+
+        def signals(self):
+            return {"BOLD": fx.signal(self.spark, sf_dir).where("element < 2")}
+
+    registry.register("marker", "failing")(lambda name: Marker(name, {"x": "vector"}, lambda s, keys: {}))
+    config = {"source": {"kind": "watched"}, "markers": [{"kind": "failing", "name": "f"}], "storage": {"uri": str(tmp_path / "o")}}
+    with pytest.raises(ValueError):
+        pipeline.run(spark, config)
+    assert seen == ["open", "close"]
+    with pytest.raises(ImportError):
+        pipeline.MarkerCollection([Marker("m", {"x": "vector"}, lambda s, keys: {}, dependencies=["no_such_package"])]).validate(["BOLD"])
+    with pytest.raises(ImportError):
+        pipeline.MarkerCollection([Marker("m", {"x": "vector"}, lambda s, keys: {}, programs=["no_such_program"])]).validate(["BOLD"])
