@@ -480,8 +480,27 @@ query("range_entropy", f"{_range_sql('VALUES (0.5::DOUBLE)')} SELECT element, co
 query("range_entropy_auc", f"{_range_sql('SELECT k / 10.0::DOUBLE FROM range(10) r(k)')} SELECT element, col, {R('sum(coalesce(h, 0) * CASE WHEN tol = 0 OR tol = 0.9 THEN 0.5 ELSE 1 END) / 10')} FROM h GROUP BY ALL")(
     lambda spark, d: rounded(complexity.complexity(_series(spark, d, 8), "range_entropy_auc"))
 )
-for _name, _kind in (("multiscale_entropy_auc", "multiscale_entropy_auc"), ("hurst_dfa", "hurst_exponent")):
-    query(_name)(lambda spark, d, kind=_kind: rounded(complexity.complexity(_series(spark, d, 8), kind)))
+_LONG = f"""{_S8}, x AS (SELECT element, col, value, row_number() OVER o - 1 AS t, count(*) OVER p AS n, avg(value) OVER p AS mean, 0.5 * stddev_pop(value) OVER p AS r FROM series8 WINDOW p AS (PARTITION BY element, col), o AS (PARTITION BY element, col ORDER BY timepoint))"""
+
+
+@query("multiscale_entropy_auc", f"""{_LONG}, c AS (SELECT element, col, s, t // s AS g, avg(value) AS v, any_value(r) AS r FROM x CROSS JOIN range(1, 11) q(s) WHERE t < (n // s) * s AND n // s > 3 GROUP BY ALL),
+e AS (SELECT element, col, s, g, r, v AS v0, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2 FROM c WINDOW w AS (PARTITION BY element, col, s ORDER BY g)),
+m AS (SELECT element, col, s, count(*) AS b, count(*) FILTER (abs(a.v2 - b.v2) <= a.r) AS a FROM e a JOIN e b USING (element, col, s) WHERE a.g <> b.g AND a.v2 IS NOT NULL AND b.v2 IS NOT NULL AND abs(a.v0 - b.v0) <= a.r AND abs(a.v1 - b.v1) <= a.r GROUP BY ALL),
+h AS (SELECT element, col, s, -ln(a / CAST(b AS DOUBLE)) AS h FROM m WHERE a > 0)
+SELECT element, col, {R('(sum(h) - (arg_min(h, s) + arg_max(h, s)) / 2) / count(*)')} FROM h GROUP BY ALL""")
+def multiscale_entropy_auc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(complexity.complexity(_series(spark, d, 8), "multiscale_entropy_auc"))
+
+
+@query("hurst_dfa", f"""{_LONG}, y AS (SELECT element, col, t, n, sum(value - mean) OVER (PARTITION BY element, col ORDER BY t) AS y FROM x),
+most AS (SELECT element, col, any_value(n) AS n, greatest(any_value(n) // 10, CASE WHEN any_value(n) < 160 THEN any_value(n) // 4 ELSE 0 END, 5) AS m FROM y GROUP BY ALL),
+sizes AS (SELECT DISTINCT element, col, n, CAST(round(4 * (m / 4.0::DOUBLE) ** (k / 15.0::DOUBLE)) AS BIGINT) AS s FROM most CROSS JOIN range(16) r(k)),
+starts AS (SELECT element, col, s, unnest(range(0, n - s + 1, greatest(1, s // 2))) AS st FROM sizes WHERE s BETWEEN 3 AND n),
+rest AS (SELECT element, col, s, st, var_pop(y) - covar_pop(y, t) ** 2 / var_pop(t) AS v FROM starts JOIN y USING (element, col) WHERE t BETWEEN st AND st + s - 1 GROUP BY ALL),
+f AS (SELECT element, col, s, sqrt(avg(v)) AS f FROM rest GROUP BY ALL)
+SELECT element, col, {R('regr_slope(ln(f), ln(s))')} FROM f WHERE f > 0 GROUP BY ALL""")
+def hurst_dfa(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(complexity.complexity(_series(spark, d, 8), "hurst_exponent"))
 
 
 # Preprocessing.

@@ -194,8 +194,10 @@ class FeatureStore:
         """One row for each element (and frame or row); matrices are flattened to row~col."""
         found, kind = self.find(name, md5)
         rows = self.read(md5=found)
-        if kind in ("matrix", "timeseries_2d"):
+        if kind == "matrix":
             rows = rows.withColumn("col", F.concat_ws("~", "row", "col"))
+        if kind == "timeseries_2d":
+            rows = timeseries_2d_to_timeseries(rows, self.keys)
         extra = {"timeseries": ["timepoint"], "timeseries_2d": ["timepoint"], "scalar_table": ["row"]}.get(kind, [])
         return wide(rows, [*self.keys, *extra])
 

@@ -687,3 +687,12 @@ def test_sources_are_opened_and_closed(spark, tmp_path, sf_dir):
         pipeline.MarkerCollection([Marker("m", {"x": "vector"}, lambda s, keys: {}, dependencies=["no_such_package"])]).validate(["BOLD"])
     with pytest.raises(ImportError):
         pipeline.MarkerCollection([Marker("m", {"x": "vector"}, lambda s, keys: {}, programs=["no_such_program"])]).validate(["BOLD"])
+
+
+def test_matrices_by_frame_are_read_wide(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", t, r, c, float(100 * t + 10 * i + j)) for t in range(2) for i, r in enumerate("ab") for j, c in enumerate("xyz")], "subject string, timepoint int, row string, col string, value double")
+    kept = store.FeatureStore(spark, str(tmp_path / "f"), ["subject"], compression="gzip")
+    kept.store("timeseries_2d", rows, {"element": {"subject": ""}, "type": "BOLD", "marker": {"name": "w"}})
+    wide = kept.read_wide("BOLD_w").orderBy("timepoint").collect()
+    assert len(wide) == 2 and wide[1]["b~z"] == 112.0 and set(wide[0].asDict()) == {"subject", "timepoint"} | {f"{r}~{c}" for r in "ab" for c in "xyz"}
+    assert list((tmp_path / "f").rglob("*.gz.parquet"))
